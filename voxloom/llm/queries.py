@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, toxicity, transport_stream
+from voxloom.llm import fingerprints, packing, secret_scan, toxicity, transport_stream
 from voxloom.llm.common import documents
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edit(documents(spark, sf_dir))
@@ -18,6 +22,14 @@ def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.media_report(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

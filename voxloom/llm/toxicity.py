@@ -23,12 +23,12 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 class Ftrl:
     """Parameters of the learner. sample: most labelled rows it is fitted on, the first by a hash of doc_id."""
 
-    bits: int = 18
-    alpha: float = 0.15
+    bits: int = 20
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
+    l1: float = 10.0
     l2: float = 1.0
-    epochs: int = 3
+    epochs: int = 4
     sample: int = 6000
 
 
