@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, packing, secret_scan, toxicity, transport_stream
+from voxloom.llm import fingerprints, packing, repair_codec, secret_scan, toxicity, transport_stream
 from voxloom.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_repair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_codec.read_ids(repair_codec.write_ids(documents(spark, sf_dir), WORD_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
