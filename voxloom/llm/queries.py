@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, packing, repair_codec, secret_scan, signature_tree, toxicity, transport_stream
+from voxloom.llm import fingerprints, packing, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream
 from voxloom.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edit(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.media_report(documents(spark, sf_dir))
 
