@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, packing, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream
+from voxloom.llm import fingerprints, packing, piece_transducer, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream, warc_fixity
 from voxloom.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.report(documents(spark, sf_dir), PIECE_TOKENIZER)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -46,6 +50,10 @@ def op9_repair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_codec.read_ids(repair_codec.write_ids(documents(spark, sf_dir), WORD_TOKENIZER))
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
