@@ -227,7 +227,8 @@ def _batch(*columns: np.ndarray) -> pa.RecordBatch:
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of one range of digests from all shards: those that binary search finds a second time."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
+    held = list(batches)
+    table = pa.Table.from_batches(held) if held else None
     if table is None or not table.num_rows:
         return
     c = {n: table[n].to_numpy() for n in table.column_names}
