@@ -334,3 +334,28 @@ def report(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return docs.join(found, "text_key").select("doc_id", "text", "copies", "spans").mapInArrow(told, schema)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The columns of documents with the repeated bytes of report() cut out of text and n_chars set anew; all rows stay.
+
+    A character that a cut goes through is left out whole. Rows without repeats, null texts included, come back as they were.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    schema = docs.select(*columns).schema
+    keyed, found = covered(docs.select(*columns).withColumn("was_null", F.col("text").isNull()))
+
+    def cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = [], []
+            for text, null, n_chars, copies, spans in zip(*(batch[c].to_pylist() for c in ("text", "was_null", "n_chars", "copies", "spans")), strict=True):
+                raw = text.encode()
+                runs = removed_runs(len(raw), copies, spans)
+                if runs:
+                    text = _kept(raw, runs).decode(errors="ignore")
+                    n_chars = len(text)
+                texts.append(None if null else text)
+                sizes.append(n_chars)
+            yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.string()), batch["lang"], batch["source"], pa.array(sizes, batch.schema.field("n_chars").type)], names=columns)
+
+    return keyed.join(found, "text_key").mapInArrow(cleaned, schema)
