@@ -17,6 +17,6 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
-    plain = lambda v: None if v is None or v is pd.NaT or v != v else str(v) if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if not isinstance(v, list) and pd.isna(v) else str(v) if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
     rows = [tuple(plain(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False)]
     return sorted(rows, key=repr)
