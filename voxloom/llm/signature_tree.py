@@ -9,7 +9,10 @@
    connected already; what reaches the leaves is compared exactly.
 4. First each class meets part of its most common bucket (split by hash, so no bucket stays whole in a task), which joins
    most copies of a large group. Then every bucket that still holds two components is joined in full: buckets with equal
-   members once, large ones as blocks, where only pairs of different components meet.
+   members once, large ones as blocks, where only pairs of different components meet. A member of a small bucket stays
+   out if no other component there has a set of a size that could reach the threshold with it.
+
+Sets travel as compressed texts and are computed where they meet: a text takes about a quarter of its shingles' hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import U64, fan_out, materialize, shingle_sets, slices, small_batches, text_buffers
@@ -162,7 +166,7 @@ def _prune(level: tuple, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarra
     return left[some], right[some]
 
 
-def _join_groups(groups: DataFrame, sets: DataFrame, pieces: int) -> DataFrame:
+def _join_groups(groups: DataFrame, sets: DataFrame, pieces: int, width: int) -> DataFrame:
     """Links (a, b) within the rows of each `place`; groups: place, set_key, component, role."""
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,20 +174,20 @@ def _join_groups(groups: DataFrame, sets: DataFrame, pieces: int) -> DataFrame:
         held: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            found = tree_join([h[3] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held])) if len(held) > 1 else []
+            found = tree_join(_unpacked([h[3] for h in held], width), np.array([h[1] for h in held]), np.array([h[2] for h in held])) if len(held) > 1 else []
             return pa.record_batch([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for p, key, component, role, raw in zip(*(batch[c].to_pylist() for c in ("place", "set_key", "component", "role")), batch["shingles"], strict=True):
+            for p, key, component, role, packed in zip(*(batch[c].to_pylist() for c in ("place", "set_key", "component", "role", "packed")), strict=True):
                 if held and p != place:
                     yield close()
                     held = []
                 place = p
-                held.append((key, component, role, np.frombuffer(raw.as_buffer(), U64)))
+                held.append((key, component, role, packed))
         if held:
             yield close()
 
-    rows = groups.join(sets, "set_key").select("place", "set_key", "component", "role", "shingles")
+    rows = groups.join(sets, "set_key").select("place", "set_key", "component", "role", "packed")
     return rows.repartition(pieces, "place").sortWithinPartitions("place", "set_key").mapInArrow(links, "a long, b long")
 
 
@@ -216,17 +220,18 @@ def link(docs: DataFrame, width: int = 5) -> DataFrame:
     most = sized.groupBy("set_key").agg(F.max(F.struct("n", "token")).alias("m")).select("set_key", "m.n", "m.token")
     salt = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / BLOCK))
     first = most.select(F.xxhash64("token", salt).alias("place"), "set_key", F.col("set_key").alias("component"), F.lit(3).alias("role"))
-    edges = materialize(_join_groups(first, sets, pieces), "links")
+    edges = materialize(_join_groups(first, sets, pieces, width), "links")
     known = components(edges)
 
     labelled = materialize(_labels(sized, known), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = labelled.join(mixed, "token")
-    small = open_.where(F.col("n") <= BLOCK)
-    lists = small.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("set_key", "component"))).alias("members")).select("members").distinct()
+    small = open_.where(F.col("n") <= BLOCK).join(sets.select("set_key", "size"), "set_key")
+    lists = small.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("set_key", "component", "size"))).alias("members"))
+    lists = lists.select(F.filter("members", lambda m: F.exists("members", lambda o: _could_link(m, o))).alias("members")).where(F.size("members") > 1).distinct()
     small = lists.select(F.xxhash64("members").alias("place"), F.explode("members").alias("m")).select("place", "m.set_key", "m.component", F.lit(3).alias("role"))
     large = _blocks(open_.where(F.col("n") > BLOCK))
-    more = materialize(_join_groups(small.unionByName(large), sets, pieces), "links")
+    more = materialize(_join_groups(small.unionByName(large), sets, pieces, width), "links")
     final = components(edges.union(more))
 
     member = classes.join(_labels(classes.where("set_key is not null").select("set_key").distinct(), final), "set_key", "left")
@@ -241,18 +246,39 @@ def _labels(keys: DataFrame, known: DataFrame) -> DataFrame:
     return keys.join(known.select(F.col("node").alias("set_key"), F.col("component").alias("linked")), "set_key", "left").withColumn("component", F.coalesce("linked", "set_key")).drop("linked")
 
 
+def _could_link(a: Column, b: Column) -> Column:
+    """Whether members of different components have sizes that allow the threshold."""
+    return (a["component"] != b["component"]) & (100 * a["size"] >= LIKENESS * b["size"]) & (100 * b["size"] >= LIKENESS * a["size"])
+
+
+def _unpacked(packed: list[bytes], width: int) -> list[np.ndarray]:
+    """The sets of compressed texts."""
+    undo = zstandard.ZstdDecompressor()
+    raw = [undo.decompress(x) for x in packed]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return [s for lo, hi in slices(offsets) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)]
+
+
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """set_key and shingles (binary) of the classes in keys, each computed from its first document."""
+    """set_key, size and compressed text of the classes in keys, each from its first document."""
     chosen = classes.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
 
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
         for batch in batches:
-            keys = batch["set_key"].to_pylist()
-            found = [(keys[i], s.tobytes()) for i, s in _per_text(batch, width) if len(s) and _key(s) == keys[i]]  # a doc_id may have other texts
-            yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["set_key", "shingles"])
+            yield pa.record_batch([batch["doc_id"].cast(pa.int64()), pa.array([press.compress((x or "").encode()) for x in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
-    found = docs.join(chosen, "doc_id").select("set_key", "text").mapInArrow(whole, "set_key long, shingles binary")
-    return materialize(found, "sets").dropDuplicates(["set_key"])
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, packed = batch["set_key"].to_pylist(), batch["packed"].to_pylist()
+            found = [(keys[i], len(s), packed[i]) for i, s in enumerate(_unpacked(packed, width)) if len(s) and _key(s) == keys[i]]  # a doc_id may have other texts
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["set_key", "size", "packed"])
+
+    small = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
+    found = small.join(chosen, "doc_id").select("set_key", "packed").mapInArrow(whole, "set_key long, size long, packed binary")
+    return materialize(found.dropDuplicates(["set_key"]), "sets")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
