@@ -89,11 +89,11 @@ def zscore(values: Column, mask: Column) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
     def scaled(inside: Column, mean: Column) -> Column:
-        std = F.sqrt(total(F.transform(inside, lambda v: (v - mean) * (v - mean))) / F.size(inside))
+        std = F.sqrt(F.try_divide(total(F.transform(inside, lambda v: (v - mean) * (v - mean))), F.size(inside)))
         checked = F.when(F.size(inside) == 0, F.raise_error(F.lit("mask is empty"))).when(std == 0, F.raise_error(F.lit("no deviation inside the mask"))).otherwise(std)
         return bind(checked, lambda s: F.zip_with(values, mask, lambda v, m: F.when(m > 0, (v - mean) / s).otherwise(0.0)))
 
-    return bind(inside, lambda a: bind(total(a) / F.size(a), lambda mean: scaled(a, mean)))
+    return bind(inside, lambda a: bind(F.try_divide(total(a), F.size(a)), lambda mean: scaled(a, mean)))
 
 
 def apply_mask(values: Column, mask: Column) -> Column:
