@@ -85,6 +85,47 @@ def test_suffix_dedup(spark, texts):
         assert (cut[3 * i + 1]["text"] or "") == bytes(np.frombuffer(raw, np.uint8)[~mark]).decode(errors="ignore")
 
 
+def test_sides_share_as_many_bytes_as_brute_force_counts():
+    rng = random.Random(7)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: E731, B905
+    for m in (2, 3, 5, 20):
+        stems = [bytes(rng.choices(range(97, 123), k=200)) for _ in range(max(1, m // 2))]
+        strings = [rng.choice(stems)[: rng.randint(1, 200)] + bytes(rng.choices(range(97, 123), k=40)) for _ in range(m)]
+        strings += [b"m" * 150 + s for s in strings[:2]]
+        order, shared = suffix_dedup._sides([np.frombuffer(s, np.uint8) for s in strings])
+        held = [strings[i] for i in order]
+        assert held == sorted(strings)
+        assert shared.tolist() == [0, *(common(a, b) for a, b in zip(held, held[1:], strict=False))]
+
+
+def test_resolve_pairs_equal_strings_of_one_anchor():
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    for copies in (2, 3):
+        for far, near in ((0, 0), (5, 5), (9, 9), (60, 30), (152, 100)):
+            passages = [b"\xff" * 12 + noise(size) + b"\xff" * 12 for size in (200, 230, 260) for _ in range(2)]
+            contexts = [(p + noise(60))[: suffix_dedup.LENGTH + far - near] for p in passages for _ in range(copies)] + [noise(suffix_dedup.LENGTH + far - near)]
+            raw = [np.frombuffer(c, np.uint8) for c in contexts]
+            who, d, met, group = suffix_dedup.resolve(raw, np.full(len(raw), far), np.full(len(raw), near))
+            own = [contexts[i][far - k : far - k + suffix_dedup.LENGTH] for i, k in zip(who.tolist(), d.tolist(), strict=True)]
+            times = Counter((s, k) for s, k in zip(own, d.tolist(), strict=True))
+            assert met.tolist() == [times[s, k] > 1 for s, k in zip(own, d.tolist(), strict=True)], (copies, far)
+            assert len(set(group.tolist())) == len(times)
+
+
+@pytest.mark.parametrize("shard", [3, 12_000])
+def test_suffix_dedup_of_passages_that_occur_twice(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    rows = []
+    for n in range(200, 261, 4):
+        passage = noise(n) if n % 8 else "\U0010ffff" * 3 + noise(n - 24) + "\U0010ffff" * 3
+        rows += [noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90)) for _ in range(2)]
+    got = by_id(suffix_dedup.report(table(spark, rows)))
+    assert [got[3 * i + 1]["n_removed"] for i in range(len(rows))] == [int(mark.sum()) for _, mark in removed(rows)]
+
+
 def test_suffix_array():
     text = np.random.default_rng(0).integers(0, 3, 300)
     order = suffix_dedup.suffix_array(text)[0]

@@ -143,7 +143,7 @@ def _sides(contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     heads[starts] = np.arange(m)
     place = np.flatnonzero(heads[order] >= 0)
     strings = heads[order[place]]
-    least = np.minimum.reduceat(shared, np.concatenate([[0], place[:-1] + 1]))[: len(place)] if m else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(shared[: place[-1] + 1], np.concatenate([[0], place[:-1] + 1])) if m else np.zeros(0, np.int64)
     a, b = strings[:-1], strings[1:]
     full = least[1:]
     word = lambda s: np.where(full < sizes[s], words[np.minimum(word_starts[s] + full, max(0, len(words) - 1))] if len(words) else U64(0), U64(0))
