@@ -15,6 +15,18 @@ BASE_RULES = [
     ("perfusion|pwi|dsc|dce|asl|pcasl", "Perfusion"), ("flair", "T2f"), ("t2", "T2w"), ("t1|mprage|bravo|spgr|vibe", "T1"),
 ]
 POST = r"post|c\+|gad|with contrast|w/ contrast|t1c"
+#: Patterns of the cascade, and its categories: (pattern on the name tokens, image type, label), first hit wins.
+LOCALIZER = "localizer|scout|aahead|a ahead|3 plane|3plane|loc"
+PERFUSION = "perfusion|pwi|dsc|dce|asl|pcasl"
+PROJECTION = r"\bmip\b|\bminip\b|project|slab"
+FSPGR = "fspgr|spgr|bravo|mprage|mp rage|vibe|spoiled|t1 cube|t1cube|tfl3d|tfl"
+DERIVED = ["DERIVED", "SECONDARY", "REFORMATTED", "RESAMPLED", "MPR", "MIP", "MINIP", "T2_STAR", "TRACEW", "ADC", "FA", "EXP_ATTEN", "AVDC", "AVERAGE", "MINIMUM", "MAXIMUM", "SUBTRACTION"]
+DWI_CATEGORIES = [("adc", "ADC", "ADC"), (r"\bfa\b", "FA", "FA"), ("trace|isotropic", "ISO", "TRACE"), ("avdc", None, "AvDC"), ("exp atten|expatten", None, "EXP_ATTEN")]
+SWI_CATEGORIES = [("min ip|minip", "MINIP", "MINIP"), ("mip", "MIP", "MIP"), ("pha", "PHASE", "PHASE"), ("mag", "MAGNITUDE", "MAG"), ("qsm", None, "QSM")]
+PERFUSION_CATEGORIES = [
+    *((k, None, k.upper()) for k in ("cbv", "cbf", "mtt", "ttp", "tmax", "ktrans")), ("k trans", None, "KTRANS"), ("kep", None, "KEP"), ("ve", None, "VE"), ("vp", None, "VP"),
+    ("leakage", None, "LEAKAGE"), ("parametric", None, "PARAM_MAP"), ("pbp", None, "PBP"), ("gbp", None, "GBP"), (None, "MIP", "PROJECTION"), (None, "MINIP", "PROJECTION"),
+]
 
 
 def name_tokens(*columns: Column) -> Column:
@@ -35,14 +47,100 @@ def first_rule(tokens: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _localizer_subtype(t: Column) -> Column:
+    return first_rule(t, [(r"\bmpr ?sag\b", "MPR_SAG"), (r"\bmpr ?cor\b", "MPR_COR"), (r"\bmpr ?tra\b", "MPR_TRA"), (r"(?<![a-z])mpr\b", "MPR")])
+
+
+def category(t: Column, types: Column, rules: list[tuple[str | None, str | None, str]]) -> Column:
+    """First hit of (pattern on the name, image type, label)."""
+    out = F.lit(None).cast("string")
+    for pattern, kind, label in reversed(rules):
+        hit = (t.rlike(pattern) if pattern else F.lit(False)) | (F.array_contains(types, kind) if kind else F.lit(False))
+        out = F.when(hit, label).otherwise(out)
+    return out
+
+
+def is_derived(t: Column, types: Column, cat: Column) -> Column:
+    """Image types decide where there are any, else a category or a projection's name."""
+    marked = F.arrays_overlap(types, F.array(*[F.lit(x) for x in DERIVED]))
+    return F.when(F.size(types) > 0, marked).otherwise(cat.isNotNull() | t.rlike(PROJECTION))
+
+
+#: What classify() reads besides `tokens`, `te` and `tr`; a column that is missing counts as null.
+CONTEXT = {
+    "exam": "string", "acq_dt": "timestamp", "b_value": "double", "image_types": "array<string>", "plane": "string", "pulse_sequence_name": "string",
+    "sequence_name": "string", "protocol_name": "string", "contrast_agent": "string", "acquisition_contrast": "string",
+}
+
+
 def classify(series: DataFrame) -> DataFrame:
-    """Adds base_type and final_label from `tokens`, te and tr: name rules, then echo and repetition times."""
-    by_name = first_rule(F.col("tokens"), BASE_RULES)
-    by_time = F.when((F.col("te") >= 80) & (F.col("tr") >= 2000), "T2w").when((F.col("te") > 0) & (F.col("te") <= 20) & (F.col("tr") > 0) & (F.col("tr") <= 1000), "T1")
-    out = series.withColumn("base_type", F.coalesce(by_name, by_time))
-    t1 = F.when(F.col("tokens").rlike(POST) & by_name.isNotNull(), "T1c").otherwise("T1n")
-    label = F.when(F.col("base_type") == "T1", t1).when(F.col("base_type") == "T2f", "T2-FLAIR").otherwise(F.coalesce("base_type", F.lit("Unknown")))
-    return out.withColumn("final_label", label)
+    """Adds base_type, final_label, is_postcontrast, is_flair, is_derived, confidence and reason: the rule cascade.
+
+    Reads `tokens`, te, tr and those of CONTEXT. The inferred contrast time is that of the `exam`; series of a null exam have none.
+    """
+    own = series.columns
+    full = series.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in CONTEXT.items() if c not in own])
+    full = full.withColumn("_t", F.coalesce("tokens", F.lit("")))
+    t = F.col("_t")
+    full = full.join(contrast_time(full.select("exam", "acq_dt", "_t"), "exam", "acq_dt", t.rlike(PERFUSION), t.rlike(POST)).select("exam", F.col("t0").alias("_t0")).distinct(), "exam", "left")
+    full = full.withColumn("_late", F.coalesce(F.col("acq_dt") > F.col("_t0"), F.lit(False)))
+    clean = F.filter(F.transform("image_types", lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    full = full.withColumn("_k", F.coalesce(F.array_sort(F.array_distinct(clean)), F.array().cast("array<string>")))
+    types, none = F.col("_k"), F.array().cast("array<string>")
+
+    dwi = category(t, types, DWI_CATEGORIES)
+    generic = t.rlike("swi|swan") & ~t.rlike("pha|mag|min ip|mip|minip")
+    swi = F.when(~generic, F.coalesce(category(t, none, SWI_CATEGORIES), category(F.lit(""), types, SWI_CATEGORIES)))
+    nothing = F.lit(None).cast("string")
+    te, tr = F.col("te"), F.col("tr")
+    rules = [
+        t.rlike(LOCALIZER), dwi.isNotNull() | t.rlike("dwi|diff|ep2d|ep b|trace") | (F.col("b_value") > 0), t.rlike("swi|swan|suscept|venogr"), t.rlike(PERFUSION), t.rlike("flair"),
+        t.rlike("t2"), t.rlike("t1|mprage|bravo|spgr|vibe"), (te >= 80) & (tr >= 2000), (te > 0) & (te <= 20) & (tr > 0) & (tr <= 1000),
+    ]
+    rule = F.lit(10)
+    for n in range(len(rules), 0, -1):
+        rule = F.when(rules[n - 1], n).otherwise(rule)
+    full = full.withColumn("_r", rule)
+
+    def by_rule(values: dict, otherwise: Column) -> Column:
+        out = otherwise
+        for n, v in values.items():
+            out = F.when(F.col("_r") == n, v).otherwise(out)
+        return out
+
+    t1 = first_rule(t, [("mip", "MIP"), ("minip", "MINIP")])
+    full = full.withColumn("_c", by_rule({1: _localizer_subtype(t), 2: dwi, 3: swi, 4: category(t, types, PERFUSION_CATEGORIES), 7: t1}, nothing))
+    c, late = F.col("_c"), F.col("_late")
+    named = t.rlike(POST)
+    vendor = (F.coalesce("contrast_agent", F.lit("")) != "") | F.coalesce(F.upper("acquisition_contrast").contains("CONTRAST"), F.lit(False))
+    post = by_rule({7: named | vendor | late, 9: late}, F.lit(False))
+    base = by_rule({1: "Localizer", 2: "DWI", 3: "SWI", 4: "Perfusion", 5: "T2f", 6: "T2w", 7: "T1", 8: "T2w", 9: "T1"}, nothing)
+    full = full.withColumn("base_type", base).withColumn("is_postcontrast", post).withColumn("is_flair", F.col("_r") == 5).withColumn("is_derived", is_derived(t, types, c))
+    label = F.when(F.col("base_type") == "T1", F.when(F.col("is_postcontrast"), "T1c").otherwise("T1n")).when(F.col("base_type") == "T2f", "T2-FLAIR")
+    label = label.otherwise(F.coalesce("base_type", F.when(F.col("is_derived"), "Unknown-derived").otherwise("Unknown")))
+    label = F.when(c.isNull(), label).otherwise(F.concat(label, F.lit("("), c, F.lit(")")))
+
+    fast = F.concat_ws(" ", t, F.lower("sequence_name"), F.lower("protocol_name")).rlike(FSPGR)
+    either = lambda plain, more: F.when(c.isNull(), plain).otherwise(more)
+    by_t1 = F.when(fast, 0.85).when(F.col("is_postcontrast"), 0.8).otherwise(0.7)
+    confidence = by_rule({1: either(0.9, 0.95), 2: either(0.9, 0.95), 3: either(0.9, 0.95), 4: either(0.85, 0.9), 5: 0.9, 6: 0.8, 7: by_t1, 8: 0.7, 9: 0.65}, F.lit(0.3))
+    yes = F.when(F.col("is_derived"), "True").otherwise("False")
+    family = lambda name: F.concat(F.lit(f"{name} family; derived="), yes, F.lit("; dcat="), F.coalesce(c, F.lit("None")))
+    times = lambda kind: F.concat(F.lit(f"TE/TR suggest {kind} (TE="), te.cast("string"), F.lit(", TR="), tr.cast("string"), F.lit(")"))
+    agent = F.concat(F.lit("vendor contrast present (agent='"), F.coalesce("contrast_agent", F.lit("")), F.lit("' or AcquisitionContrast)"))
+    why_post = F.when(named, "explicit post-contrast tokens").when(vendor, agent).when(late, "acquired after inferred contrast time")
+    evidence = {1: F.concat(F.lit("Localizer family; subtype="), F.coalesce(c, F.lit("None"))), 2: family("DWI"), 3: family("SWI"), 4: family("Perfusion"), 5: "FLAIR in name", 6: "T2 token", 7: why_post, 8: times("T2"), 9: times("T1")}
+    seen = {"plane": "plane", "PulseSequenceName": "pulse_sequence_name", "b_value": "b_value"}
+    reason = F.concat_ws(
+        "; ",
+        F.when(F.size(types) > 0, F.concat(F.lit("ImageType="), F.array_join(types, ","))),
+        *[F.concat(F.lit(f"{name}="), F.col(x).cast("string")) for name, x in seen.items()],
+        F.when((F.col("_r") == 3) & t.contains("swan"), "SWI subtype=SWAN"),
+        by_rule(evidence, F.lit("No strong name/physics cues")),
+        F.when((F.col("_r") == 7) & fast, "FSPGR-like sequence"),
+        F.when((F.col("_r") == 9) & late, "timing upgrade to post-contrast"),
+    )
+    return full.select(*own, "base_type", label.alias("final_label"), "is_postcontrast", "is_flair", "is_derived", confidence.alias("confidence"), reason.alias("reason"))
 
 
 def contrast_time(series: DataFrame, exam: str, time: str, perfusion: Column, post: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import series as S
 from voxloom.plans.volume_queries import query
 
-#: A series for each rule of the cascade.
+#: A series for each base type by name, echo or repetition time.
 SERIES = [
     (1, "3-plane Localizer", 5.0, 100.0), (2, "AX DWI_b1000", 80.0, 5000.0), (3, "Ax SWAN 3D", 25.0, 50.0), (4, "COR DSC-perf", 30.0, 1500.0),
     (5, "Sag T2 FLAIR", 120.0, 9000.0), (6, "AXIAL T2_TSE", 90.0, 4000.0), (7, "AX T1 post GAD", 10.0, 600.0), (8, "Sag MPRAGE", 3.0, 2300.0),
@@ -41,6 +41,70 @@ def classify_series(spark, sf_dir):
     return S.classify(_series(spark)).select("id", "base_type", "final_label")
 
 
+#: Fixed values, one or more for each rule and branch: id, exam, name, minute, te, tr, b, image types, contrast agent, acquisition contrast, sequence name.
+CASCADE = [
+    (1, "a", "3-plane Localizer", 0, 5.0, 100.0, None, None, None, None, None), (2, "a", "Loc MPR_SAG", 1, None, None, None, "DERIVED", None, None, None), (3, "a", "AAhead_Scout MPR", 2, None, None, None, None, None, None, None),
+    (4, "a", "3 plane fiesta", 2, None, None, None, "ORIGINAL", None, None, None), (5, "a", "AX DWI_b1000", 3, 80.0, 5000.0, 1000.0, None, None, None, None), (6, "a", "unnamed", 3, 80.0, 5000.0, 800.0, None, None, None, "ep_se"),
+    (7, "a", "unnamed", 3, 80.0, 5000.0, 0.0, "DERIVED ADC", None, None, None), (8, "a", "eADC map", 3, None, None, None, None, None, None, None), (9, "a", "brain FA color", 3, None, None, None, None, None, None, None),
+    (10, "a", "isotropic image", 3, None, None, None, None, None, None, None), (11, "a", "Exp-Atten", 3, None, None, None, "PRIMARY", None, None, None), (12, "a", "AvDC", 3, None, None, None, None, None, None, None),
+    (13, "a", "Ax SWAN 3D", 4, 25.0, 50.0, None, "MINIP", None, None, None), (14, "a", "SWI mIP", 4, None, None, None, None, None, None, None), (15, "a", "suscept", 4, None, None, None, "phase", None, None, None),
+    (16, "a", "SWI Filt_Pha", 4, None, None, None, None, None, None, None), (17, "a", "venogram QSM", 4, None, None, None, None, None, None, None), (18, "a", "swan magnitude", 4, None, None, None, None, None, None, None),
+    (19, "a", "COR DSC-perf", 10, 30.0, 1500.0, None, None, None, None, None), (20, "a", "pcasl CBF", 11, None, None, None, None, None, None, None), (21, "a", "DCE k-trans", 11, None, None, None, None, None, None, None),
+    (22, "a", "pwi", 11, None, None, None, "ORIGINAL MIP", None, None, None), (23, "a", "perfusion curve", 11, None, None, None, None, None, None, None), (24, "a", "Sag T2 FLAIR", 5, 120.0, 9000.0, None, None, None, None, None),
+    (25, "a", "AXIAL T2_TSE slab", 5, 90.0, 4000.0, None, None, None, None, None), (26, "a", "AX T1", 5, 10.0, 600.0, None, None, None, None, None), (27, "a", "AX T1", 10, 10.0, 600.0, None, None, None, None, None),
+    (28, "a", "AX T1", 12, 10.0, 600.0, None, None, None, None, None), (29, "a", "AX T1 mip", 12, 10.0, 600.0, None, "PRIMARY SECONDARY", None, None, None), (30, "a", "tra series", 12, 95.0, 3000.0, None, None, None, None, None),
+    (31, "a", "oblique", 12, 12.0, 700.0, None, None, None, None, None), (32, "a", "oblique", 4, 12.0, 700.0, None, None, None, None, None), (33, "a", "oblique", None, 12.0, 700.0, None, None, None, None, None),
+    (34, "b", "AX T1 post GAD", 20, 10.0, 600.0, None, None, None, None, None), (35, "b", "Sag MPRAGE", 5, 3.0, 2300.0, None, None, "Gadavist", None, None), (36, "b", "Sag T1", 5, 3.0, 2300.0, None, None, "", "contrast", None),
+    (37, "b", "Sag T1", 5, 3.0, 2300.0, None, None, "", "T1", "*TFL3d1"), (38, "b", "Ax BRAVO", 21, None, None, None, None, None, None, None), (39, "b", "unnamed", 5, 40.0, 1500.0, None, "derived SECONDARY", None, None, None),
+    (40, "b", "projection", 5, None, None, None, None, None, None, None), (41, "b", "unnamed", 5, 40.0, 1500.0, None, "ORIGINAL", None, None, None), (42, "c", "AX T1", 30, 10.0, 600.0, None, None, None, None, None),
+    (43, None, "AX T1 c+", 1, None, None, None, None, None, None, None), (44, None, "AX T1", 2, None, None, None, None, None, None, None), (45, "c", None, None, None, None, None, None, None, None, None),
+]
+_CASCADE_VALUES = "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in CASCADE)
+_CASCADE_SQL = rf"""WITH s AS (SELECT CAST(id AS INT) AS id, exam, {_TOKENS} AS t, TIMESTAMP '2020-01-01' + to_minutes(CAST(m AS BIGINT)) AS acq, CAST(te AS DOUBLE) AS te, CAST(tr AS DOUBLE) AS tr, CAST(b AS DOUBLE) AS b,
+  CASE WHEN kinds IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_sort(string_split(upper(kinds), ' ')) END AS k, coalesce(agent, '') AS agent, coalesce(upper(ac), '') AS ac, lower(coalesce(sq, '')) AS sq
+  FROM ({_CASCADE_VALUES}) v(id, exam, name, m, te, tr, b, kinds, agent, ac, sq)),
+x AS (SELECT exam, coalesce(min(acq) FILTER (regexp_matches(t, 'perfusion|pwi|dsc|dce|asl')), min(acq) FILTER (regexp_matches(t, 'post|c\+|gad|with contrast|w/ contrast|t1c'))) AS t0 FROM s GROUP BY exam),
+a AS (SELECT s.*, coalesce(acq > t0, false) AS late, agent <> '' OR contains(ac, 'CONTRAST') AS vendor, regexp_matches(t, 'post|c\+|gad|with contrast|w/ contrast|t1c') AS named,
+  regexp_matches(t || ' ' || sq, 'spgr|bravo|mprage|mp rage|vibe|spoiled|t1 ?cube|tfl') AS fast,
+  CASE WHEN contains(t, 'adc') OR list_contains(k, 'ADC') THEN 'ADC' WHEN regexp_matches(t, '\bfa\b') OR list_contains(k, 'FA') THEN 'FA' WHEN regexp_matches(t, 'trace|isotropic') OR list_contains(k, 'ISO') THEN 'TRACE'
+    WHEN contains(t, 'avdc') THEN 'AvDC' WHEN regexp_matches(t, 'exp ?atten') THEN 'EXP_ATTEN' END AS dwi,
+  CASE WHEN regexp_matches(t, 'min ?ip') THEN 'MINIP' WHEN contains(t, 'mip') THEN 'MIP' WHEN contains(t, 'pha') THEN 'PHASE' WHEN contains(t, 'mag') THEN 'MAG' WHEN regexp_matches(t, 'swi|swan') THEN NULL WHEN contains(t, 'qsm') THEN 'QSM'
+    WHEN list_contains(k, 'MINIP') THEN 'MINIP' WHEN list_contains(k, 'MIP') THEN 'MIP' WHEN list_contains(k, 'PHASE') THEN 'PHASE' WHEN list_contains(k, 'MAGNITUDE') THEN 'MAG' END AS swi,
+  CASE WHEN contains(t, 'cbv') THEN 'CBV' WHEN contains(t, 'cbf') THEN 'CBF' WHEN contains(t, 'mtt') THEN 'MTT' WHEN contains(t, 'ttp') THEN 'TTP' WHEN contains(t, 'tmax') THEN 'TMAX' WHEN regexp_matches(t, 'k ?trans') THEN 'KTRANS'
+    WHEN contains(t, 'kep') THEN 'KEP' WHEN contains(t, 've') THEN 'VE' WHEN contains(t, 'vp') THEN 'VP' WHEN contains(t, 'leakage') THEN 'LEAKAGE' WHEN contains(t, 'parametric') THEN 'PARAM_MAP' WHEN contains(t, 'pbp') THEN 'PBP'
+    WHEN contains(t, 'gbp') THEN 'GBP' WHEN list_has_any(k, ['MIP', 'MINIP']) THEN 'PROJECTION' END AS perf,
+  CASE WHEN regexp_matches(t, '\bmpr ?sag\b') THEN 'MPR_SAG' WHEN regexp_matches(t, '\bmpr ?cor\b') THEN 'MPR_COR' WHEN regexp_matches(t, '\bmpr ?tra\b') THEN 'MPR_TRA' WHEN regexp_matches(t, '(^|[^a-z])mpr\b') THEN 'MPR' END AS loc
+  FROM s LEFT JOIN x ON x.exam = s.exam),
+r AS (SELECT *, CASE WHEN regexp_matches(t, 'scout|a ?ahead|3 ?plane|loc') THEN 1 WHEN dwi IS NOT NULL OR regexp_matches(t, 'dwi|diff|ep2d|ep b|trace') OR b > 0 THEN 2 WHEN regexp_matches(t, 'swi|swan|suscept|venogr') THEN 3
+  WHEN regexp_matches(t, 'perfusion|pwi|dsc|dce|asl') THEN 4 WHEN contains(t, 'flair') THEN 5 WHEN contains(t, 't2') THEN 6 WHEN regexp_matches(t, 't1|mprage|bravo|spgr|vibe') THEN 7 WHEN te >= 80 AND tr >= 2000 THEN 8
+  WHEN te > 0 AND te <= 20 AND tr > 0 AND tr <= 1000 THEN 9 ELSE 10 END AS n FROM a),
+c AS (SELECT *, CASE n WHEN 1 THEN loc WHEN 2 THEN dwi WHEN 3 THEN swi WHEN 4 THEN perf WHEN 7 THEN CASE WHEN contains(t, 'mip') THEN 'MIP' WHEN contains(t, 'minip') THEN 'MINIP' END END AS cat,
+  (n = 7 AND (named OR vendor OR late)) OR (n = 9 AND late) AS post FROM r),
+d AS (SELECT *, CASE WHEN len(k) > 0 THEN list_has_any(k, ['DERIVED', 'SECONDARY', 'REFORMATTED', 'RESAMPLED', 'MPR', 'MIP', 'MINIP', 'T2_STAR', 'TRACEW', 'ADC', 'FA', 'EXP_ATTEN', 'AVDC', 'AVERAGE', 'MINIMUM', 'MAXIMUM', 'SUBTRACTION'])
+  ELSE cat IS NOT NULL OR regexp_matches(t, '\bmip\b|\bminip\b|project|slab') END AS derived FROM c)
+SELECT id, CASE n WHEN 1 THEN 'Localizer' WHEN 2 THEN 'DWI' WHEN 3 THEN 'SWI' WHEN 4 THEN 'Perfusion' WHEN 5 THEN 'T2f' WHEN 6 THEN 'T2w' WHEN 7 THEN 'T1' WHEN 8 THEN 'T2w' WHEN 9 THEN 'T1' END AS base_type,
+  CASE n WHEN 1 THEN 'Localizer' WHEN 2 THEN 'DWI' WHEN 3 THEN 'SWI' WHEN 4 THEN 'Perfusion' WHEN 5 THEN 'T2-FLAIR' WHEN 6 THEN 'T2w' WHEN 8 THEN 'T2w' WHEN 10 THEN CASE WHEN derived THEN 'Unknown-derived' ELSE 'Unknown' END
+    ELSE CASE WHEN post THEN 'T1c' ELSE 'T1n' END END || coalesce('(' || cat || ')', '') AS final_label,
+  post AS is_postcontrast, n = 5 AS is_flair, derived AS is_derived,
+  CAST(CASE WHEN n IN (1, 2, 3) THEN CASE WHEN cat IS NULL THEN 0.9 ELSE 0.95 END WHEN n = 4 THEN CASE WHEN cat IS NULL THEN 0.85 ELSE 0.9 END WHEN n = 5 THEN 0.9 WHEN n = 6 THEN 0.8
+    WHEN n = 7 THEN CASE WHEN fast THEN 0.85 WHEN post THEN 0.8 ELSE 0.7 END WHEN n = 8 THEN 0.7 WHEN n = 9 THEN 0.65 ELSE 0.3 END AS DOUBLE) AS confidence,
+  concat_ws('; ', CASE WHEN len(k) > 0 THEN 'ImageType=' || array_to_string(k, ',') END, 'b_value=' || CAST(b AS VARCHAR), CASE WHEN n = 3 AND contains(t, 'swan') THEN 'SWI subtype=SWAN' END,
+    CASE WHEN n = 1 THEN 'Localizer family; subtype=' || coalesce(cat, 'None')
+      WHEN n IN (2, 3, 4) THEN CASE n WHEN 2 THEN 'DWI' WHEN 3 THEN 'SWI' ELSE 'Perfusion' END || ' family; derived=' || CASE WHEN derived THEN 'True' ELSE 'False' END || '; dcat=' || coalesce(cat, 'None')
+      WHEN n = 5 THEN 'FLAIR in name' WHEN n = 6 THEN 'T2 token' WHEN n = 7 AND named THEN 'explicit post-contrast tokens' WHEN n = 7 AND vendor THEN 'vendor contrast present (agent=''' || agent || ''' or AcquisitionContrast)'
+      WHEN n = 7 AND late THEN 'acquired after inferred contrast time' WHEN n = 8 THEN 'TE/TR suggest T2 (TE=' || te || ', TR=' || tr || ')' WHEN n = 9 THEN 'TE/TR suggest T1 (TE=' || te || ', TR=' || tr || ')'
+      WHEN n = 10 THEN 'No strong name/physics cues' END,
+    CASE WHEN n = 7 AND fast THEN 'FSPGR-like sequence' END, CASE WHEN n = 9 AND late THEN 'timing upgrade to post-contrast' END) AS reason FROM d"""
+
+
+@query(_CASCADE_SQL)
+def classify_cascade(spark, sf_dir):
+    df = spark.createDataFrame(CASCADE, "id int, exam string, name string, m int, te double, tr double, b_value double, kinds string, contrast_agent string, acquisition_contrast string, sequence_name string")
+    at = F.to_timestamp(F.lit("2020-01-01")) + F.make_interval(mins=F.col("m"))
+    df = df.withColumn("tokens", S.name_tokens(F.col("name"))).withColumn("acq_dt", at).withColumn("image_types", F.split("kinds", " "))
+    return S.classify(df).select("id", "base_type", "final_label", "is_postcontrast", "is_flair", "is_derived", "confidence", "reason")
+
+
 @query(r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '\^', ' ', 'g'), '[^A-Za-z0-9\s'']', ' ', 'g'), '\s+', ' ', 'g'))) AS name FROM documents")
 def normalize_name(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", S.person_name(F.col("text")).alias("name"))
