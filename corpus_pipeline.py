@@ -1,7 +1,8 @@
 """The corpus pipeline: toxic documents go, one of each near-duplicate group stays, repeats and secrets are cut out, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and rereads it for the next.
-Stages but the last return the columns of documents. Rows with a null doc_id or text pass through all of them.
+Stages but the last return the columns of documents. Rows with a null text pass through all of them;
+a null doc_id is like any other, and counts as the least.
 """
 
 from __future__ import annotations
@@ -26,10 +27,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id; a repeated row once."""
-    docs = docs.select(*COLUMNS)
-    kept = signature_tree.link(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates the one row of least doc_id, null first, then of least text hash; rows without words all stay."""
+    return signature_tree.keep_one(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,6 +227,29 @@ def test_jaccard_join(spark, texts):
     assert signature_tree.link(table(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, texts):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(40)]
+    near = [" ".join([*words, str(i % 4)]) for i in range(8)] + [" ".join([*words[::-1], str(i)]) for i in range(4)]
+    ids = [None, None, 5, 5, 9, None, None, 2, 5, 5, None, 1]
+    rows = [(d, t) for d, t in zip(ids, near, strict=True)] + [(None, None)] * 3 + [(None, " ")] * 2 + [(5, ""), (5, ""), (7, "other text of its own")]
+    rows += [(5, t) for t in texts[40:48]] + [(100 + i, t) for i, t in enumerate(texts[:20])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    sets, least = components([t for _, t in rows])
+    groups = {}
+    for (d, t), s, k in zip(rows, sets, least, strict=True):
+        if s:
+            groups.setdefault(k, []).append((d, t))
+    rank = lambda d: -1 if d is None else d
+    assert Counter(x for x in got if not (x[1] or "").split()) == Counter(x for x in rows if not (x[1] or "").split())
+    kept = [x for x in got if (x[1] or "").split()]
+    assert len(kept) == len(groups)
+    for g in groups.values():
+        assert [rank(d) for d, t in kept if (d, t) in g] == [min(rank(d) for d, _ in g)]
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

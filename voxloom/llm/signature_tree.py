@@ -49,11 +49,11 @@ def _key(s: np.ndarray) -> int:
 
 
 def classes_and_sketch(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles, set_key (null without words) of every row, and the counters of all shingles."""
+    """doc_id, n_shingles, set_key (null without words) and text_key of every row, and the counters of all shingles."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << _BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("text_key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             keys: list[int | None] = []
             sizes = []
@@ -62,13 +62,13 @@ def classes_and_sketch(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.n
                 keys.append(_key(s) if len(s) else None)
                 np.add.at(counters, (s >> U64(64 - _BITS)).astype(np.int64), 1)
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch["text_key"], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = counters.astype("<u4").reshape(-1, _CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         n = len(some)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], schema=schema)
 
-    both = materialize(docs.select("doc_id", "text").mapInArrow(gather, "doc_id long, n_shingles long, set_key long, chunk int, counts binary"), "shingle-sets")
+    both = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(gather, "doc_id long, n_shingles long, set_key long, text_key long, chunk int, counts binary"), "shingle-sets")
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -81,7 +81,7 @@ def classes_and_sketch(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.n
     counters = np.zeros(((1 << _BITS) // _CHUNK, _CHUNK), np.uint32)
     for r in parts:
         counters[r["chunk"]] = np.frombuffer(r["counts"], "<u4")
-    return both.where("chunk is null").select("doc_id", "n_shingles", "set_key"), counters.ravel()
+    return both.where("chunk is null").select("doc_id", "n_shingles", "set_key", "text_key"), counters.ravel()
 
 
 def prefix(s: np.ndarray, counters: np.ndarray) -> np.ndarray:
@@ -197,6 +197,26 @@ def link(docs: DataFrame, width: int = 5) -> DataFrame:
     A text with fewer than `width` words has its whole sequence as its one shingle; without words, or null, it has none
     and links with nothing. Rows that share a doc_id link by their texts alone. A null doc_id counts as the least and is null again in the result.
     """
+    member = _members(docs, width)
+    least = member.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = member.join(least, "component", "left")
+    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).select(real("doc_id"), "n_shingles", real("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The columns of docs: of each component exactly the row of least doc_id (null first), then text hash; all rows without words."""
+    columns = docs.columns
+    member = _members(docs, width).where("component is not null")
+    kept = member.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_key", F.xxhash64("text"))
+    rows = rows.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "text"])
+    return rows.select(*columns).unionByName(docs.where(~worded))
+
+
+def _members(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id (null as the least), n_shingles, set_key, text_key and component (null without words) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
@@ -234,11 +254,7 @@ def link(docs: DataFrame, width: int = 5) -> DataFrame:
     more = materialize(_join_groups(small.unionByName(large), sets, pieces, width), "links")
     final = components(edges.union(more))
 
-    member = classes.join(_labels(classes.where("set_key is not null").select("set_key").distinct(), final), "set_key", "left")
-    least = member.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = member.join(least, "component", "left")
-    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).select(real("doc_id"), "n_shingles", real("component_id"))
+    return classes.join(_labels(classes.where("set_key is not null").select("set_key").distinct(), final), "set_key", "left")
 
 
 def _labels(keys: DataFrame, known: DataFrame) -> DataFrame:
