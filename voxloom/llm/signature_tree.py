@@ -192,7 +192,7 @@ def _join_groups(groups: DataFrame, sets: DataFrame, pieces: int, width: int) ->
 
 
 def link(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id of every row: components only. Pairs already connected are not compared, so neither all links nor their number are known.
 
     A text with fewer than `width` words has its whole sequence as its one shingle; without words, or null, it has none
     and links with nothing. Rows that share a doc_id link by their texts alone. A null doc_id counts as the least and is null again in the result.
