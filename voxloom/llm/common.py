@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -41,19 +42,41 @@ def fan_out(spark: SparkSession) -> int:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a folder of this machine serves on a local master alone; on a cluster this raises.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{os.path.join(tempfile.gettempdir(), 'voxloom-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'voxloom-checkpoints')}"
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that name a text: half of its SHA-256 digest; null is named as the empty text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+#: Bytes of input that one task of keyed work is meant to hold.
+TASK_BYTES = 24 << 20
+
+
+def pieces_by_size(df: DataFrame, column: str) -> int:
+    """Tasks for keyed work on a text column: enough that each reads about TASK_BYTES, and no fewer than the session's."""
+    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(fan_out(df.sparkSession), -(-total // TASK_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write once to the shared folder, in folders by the columns `by`, and read back: cuts the lineage, survives lost executors.
+
+    The tables stay until the folder of the application is removed, for a later action on the result reads them again.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/voxloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -111,6 +134,42 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes up to which a word is hashed in numpy; blake2b hashes longer ones.
+_SHORT = 64
+
+
+def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, both: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """A 64-bit hash of each data[lo:hi] and, with `both`, a second one by other constants, so that the two make 128 bits.
+
+    Blocks of 8 bytes go through a nonlinear mixer one after the other, so no family of words collides by its structure.
+    """
+    size = hi - lo
+    block = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15))
+    second = mix(size.astype(U64) * U64(0xA0761D6478BD642F) + U64(0xE7037ED1A0B428DB)) if both else None
+    who, at, j = np.flatnonzero(size <= _SHORT), lo, 0
+    if len(who) == len(size):
+        who = slice(None)
+    while True:
+        left = size[who] - 8 * j
+        b = block[at[who] + 8 * j] & _KEEP[np.minimum(left, 8)]
+        h[who] = mix(h[who] ^ b)
+        if both:
+            second[who] = mix((second[who] ^ b) * U64(0x8EBC6AF09C88C6E3))
+        more = left > 8
+        if not more.any():
+            break
+        who = (np.arange(len(size)) if isinstance(who, slice) else who)[more]
+        j += 1
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        raw = hashlib.blake2b(data[lo[i] : hi[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(raw[:8], "little")
+        if both:
+            second[i] = int.from_bytes(raw[8:], "little")
+    return h, second
+
+
 def _words(data: np.ndarray, starts: np.ndarray, separator: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each maximal run without separators; `starts`: where rows begin."""
     inside = ~separator[data]
@@ -123,9 +182,7 @@ def _words(data: np.ndarray, starts: np.ndarray, separator: np.ndarray, fold: np
     cut = cut[cut > 0] - 1
     last[cut] = inside[cut]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p = prefix_sums(fold[data])
-    _, inverse = powers(len(data) + 1)
-    return lo, hi, mix((p[hi] - p[lo]) * inverse[lo] + (hi - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return lo, hi, span_hashes(fold[data], lo, hi)[0]
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:

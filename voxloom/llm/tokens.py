@@ -2,7 +2,7 @@
 
 The tokenizer lower-cases, drops white space and parts letters, digits and other characters before it merges. Texts are
 parted the same way on their bytes in numpy; each distinct word goes to the library's model once and its ids are kept in
-a bounded table, found by a 64-bit hash of its bytes. A run of characters without white space that holds anything but
+a bounded table, found by 64 bits and confirmed by 64 more. A run of characters without white space that holds anything but
 printable ASCII and precomposed Latin letters, or an apostrophe, or "<|", is one such word and goes through the whole
 library. Single numbers below are those of the tokenizer's word pattern.
 """
@@ -10,10 +10,11 @@ library. Single numbers below are those of the tokenizer's word pattern.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 
-from voxloom.llm.common import mix, powers, prefix_sums, ragged, slices
+from voxloom.llm.common import ragged, slices, span_hashes
 
 #: Words kept by each Python worker (about 40 bytes each); the table starts anew when full.
 KEPT = 1_000_000
@@ -26,6 +27,62 @@ _CLASS[[0x20, 0x09, 0x0A, 0x0D]] = _SPACE
 _CLASS[ord("'")] = _ODD
 
 
+class WordTable:
+    """Ids of words, each encoded once: its hash finds a word, by a slot or else among the sorted ones, a second hash confirms it.
+
+    A word whose second hash differs from that of the kept word is encoded for itself, so a collision costs time only.
+    """
+
+    SLOT_BITS = 21
+
+    def __init__(self, kept: int = KEPT) -> None:
+        self.kept = kept
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and their places below
+        self.slots = np.zeros(1 << self.SLOT_BITS, np.int32)
+        self.first, self.second, self.starts, self.lengths, self.ids = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, encoded: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        base = len(self.lengths)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
+        self.ids = np.concatenate([self.ids, *[np.asarray(x, np.uint32) for x in encoded]])
+        return base + np.arange(len(encoded))
+
+    def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Callable[[np.ndarray], list]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words data[start:end], and n + 1 ends; encode gives the ids of the words at the places it is handed."""
+        if len(self.known) > self.kept:
+            self._clear()
+        h, second = span_hashes(data, start, end, both=True)
+        slot = (h >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        place = self.slots[slot].astype(np.int64)
+        missed = np.flatnonzero((place == 0) | (self.first[place] != h))
+        if len(missed):
+            distinct, example, which = np.unique(h[missed], return_index=True, return_inverse=True)
+            example = missed[example]
+            at = np.searchsorted(self.known, distinct)
+            fresh = np.ones(len(distinct), bool)
+            near = at < len(self.known)
+            fresh[near] = self.known[at[near]] != distinct[near]
+            if fresh.any():
+                places = self._add(encode(example[fresh]), distinct[fresh], second[example[fresh]])
+                into = np.searchsorted(self.known, distinct[fresh])
+                self.known = np.insert(self.known, into, distinct[fresh])
+                self.order = np.insert(self.order, into, places)
+                at = np.searchsorted(self.known, distinct)
+            self.slots[slot[example]] = self.order[at]
+            place[missed] = self.order[at][which]
+        other = np.flatnonzero(self.second[place] != second)
+        if len(other):
+            place[other] = self._add(encode(other), h[other], second[other])
+        lengths = self.lengths[place]
+        return self.ids[ragged(lengths, self.starts[place])], np.concatenate([[0], np.cumsum(lengths)])
+
+
 class TextEncoder:
     """Ids of texts; raises ValueError if a sample text shows that the tokenizer works in another way."""
 
@@ -37,15 +94,11 @@ class TextEncoder:
         self.model = self.tokenizer.model
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x21, 0x7F), *range(0xC0, 0x250)]}
-        self._clear()
+        self.table = WordTable()
         probe = "It's a 12-line probe,\twith\n\nlines: NÉ, Größe... (x)=3.14 日本 é <|endoftext|> we'll"
         if self.tokenizer.encode(probe, add_special_tokens=False).ids != self.encode_texts([probe])[0].tolist():
             raise ValueError("this tokenizer parts or normalises texts in another way")
 
-    def _clear(self) -> None:
-        self.known, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and their places below
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [x.encode() for x in texts]
         return self.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
@@ -92,34 +145,9 @@ class TextEncoder:
         last[start[start > 0] - 1] |= inside[start[start > 0] - 1]
         end = np.flatnonzero(last) + 1
         data = data + np.uint8(32) * ((data >= 65) & (data <= 90) & plain[run])
-        p = prefix_sums(data)
-        _, inverse = powers(len(data) + 1)
-        h = mix((p[end] - p[start]) * inverse[start] + (end - start).astype(np.uint64))
-        distinct, example, which = np.unique(h, return_index=True, return_inverse=True)
-        place = self._places(distinct, data, start[example], end[example], plain[run[start[example]]])[which]
-        lengths = self.lengths[place]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[ragged(lengths, self.starts[place])], ends[np.searchsorted(start, np.append(rows, len(data)))]
-
-    def _places(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> np.ndarray:
-        if len(self.known) > KEPT:
-            self._clear()
-        at = np.searchsorted(self.known, hashes)
-        fresh = np.ones(len(hashes), bool)
-        near = at < len(self.known)
-        fresh[near] = self.known[at[near]] != hashes[near]
-        if fresh.any():
-            encoded = [self._word(data[a:b].tobytes().decode(), ok) for a, b, ok in zip(start[fresh], end[fresh], plain[fresh], strict=True)]
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            base = len(self.lengths)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.array([i for ids in encoded for i in ids], np.uint32)])
-            into = np.searchsorted(self.known, hashes[fresh])
-            self.known = np.insert(self.known, into, hashes[fresh])
-            self.order = np.insert(self.order, into, base + np.arange(len(encoded)))
-            at = np.searchsorted(self.known, hashes)
-        return self.order[at]
+        ok = plain[run[start]]
+        ids, ends = self.table.lookup(data, start, end, lambda at: [self._word(data[start[i] : end[i]].tobytes().decode(), ok[i]) for i in at.tolist()])
+        return ids, ends[np.searchsorted(start, np.append(rows, len(data)))]
 
     def _word(self, word: str, plain: bool) -> list[int]:
         if not plain:
