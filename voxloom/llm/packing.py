@@ -1,9 +1,9 @@
 """Best-fit packing by exact-complement hashing over the histogram of piece lengths.
 
 Pieces are interchangeable within a length, so a plan is made on counts alone: at most `width` numbers, whatever the
-corpus. Lengths go from long to short; each gap is looked up among the single, pair and triple sums of the lengths still
-available, and as many combinations as the counts allow are consumed at once. What has no exact complement is packed
-best fit. Pieces then find their slot by their rank within their length.
+corpus. Lengths go from long to short; each gap is looked up in an index of the single, pair and triple sums of the
+lengths still available, and as many combinations as the counts allow are consumed at once, which updates the index.
+What has no exact complement is packed best fit. Pieces then find their slot by their rank within their length.
 """
 
 from __future__ import annotations
@@ -41,31 +41,84 @@ class Plan:
         return self.sequence[slot] + past // self.each[slot], self.offset[slot] + past % self.each[slot] * length
 
 
+class SumIndex:
+    """Available lengths by their sums: `have[s]` single lengths, `pairs[s]` distinct pairs {a, b} with a + b = s.
+
+    A triple of sum s is a length c with a pair of sum s - c, so the two tables index triples too. The pair table
+    changes only where a length comes to or falls below one or two available pieces.
+    """
+
+    def __init__(self, have: np.ndarray) -> None:
+        self.width = len(have) - 1
+        self.have = np.zeros_like(have)
+        self.pairs = np.zeros(2 * len(have), np.int64)
+        for x in np.flatnonzero(have).tolist():
+            self.add(x, int(have[x]))
+
+    def add(self, x: int, n: int) -> None:
+        """n more pieces of length x, or fewer where n is negative."""
+        before, after = int(self.have[x]), int(self.have[x] + n)
+        if (before > 0) != (after > 0):
+            others = np.flatnonzero(self.have)
+            self.pairs[x + others[others != x]] += 1 if after > 0 else -1
+        self.pairs[2 * x] += int(after > 1) - int(before > 1)
+        self.have[x] = after
+
+    def _pair(self, total: int, most: int) -> list[int] | None:
+        """The pair of this sum with the longest first length, at most `most`."""
+        if not self.pairs[total]:
+            return None
+        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
+        a = a[(self.have[a] > 0) & (self.have[total - a] > 0) & ((2 * a != total) | (self.have[a] > 1))]
+        return [int(a[0]), total - int(a[0])] if len(a) else None
+
+    def complement(self, top: int) -> list[int] | None:
+        """Lengths that fill the gap beside one piece of length `top` exactly: none, one, two or three, long ones first."""
+        gap = self.width - top
+        if gap == 0:
+            return []
+        self.add(top, -1)
+        found = [gap] if self.have[gap] else self._pair(gap, gap)
+        if found is None:
+            c = np.arange(gap - 2, 0, -1)
+            for x in c[(self.have[c] > 0) & (self.pairs[gap - c] > 0)].tolist():
+                self.add(x, -1)
+                two = self._pair(gap - x, x)
+                self.add(x, 1)
+                if two:
+                    found = [x, *two]
+                    break
+        self.add(top, 1)
+        return found
+
+
 def make_plan(counts: dict[int, int], width: int = 2048) -> Plan:
     """Patterns (multisets of lengths) with how often each is used; every piece of the histogram is in one pattern."""
-    have = np.zeros(width + 1, np.int64)
+    start = np.zeros(width + 1, np.int64)
     for length, n in counts.items():
-        have[length] = n
+        start[length] = n
+    index = SumIndex(start)
+    have = index.have
     patterns: list[tuple[dict[int, int], int]] = []
 
     def use(lengths: list[int]) -> None:
         needs = {x: lengths.count(x) for x in lengths}
         times = min(int(have[x]) // k for x, k in needs.items())
         for x, k in needs.items():
-            have[x] -= k * times
+            index.add(x, -k * times)
         patterns.append((needs, times))
 
     rest: list[tuple[int, int]] = []
     for top in range(width, 0, -1):
         while have[top]:
-            found = _complement(have, top, width - top)
+            found = index.complement(top)
             if found is None:
                 rest.append((top, int(have[top])))
-                have[top] = 0
+                index.add(top, -int(have[top]))
             else:
                 use([top, *found])
     for length, n in rest:
-        have[length] += n
+        index.add(length, n)
     for top in range(width, 0, -1):
         while have[top]:
             chosen = [top]
@@ -77,7 +130,7 @@ def make_plan(counts: dict[int, int], width: int = 2048) -> Plan:
                 have[x] -= 1
                 gap -= x
             for x in chosen:
-                have[x] += 1
+                have[x] += 1  # as the index still has it
             use(chosen)
     slots, sequence, used = [], 0, np.zeros(width + 1, np.int64)
     for needs, times in patterns:
@@ -92,32 +145,6 @@ def make_plan(counts: dict[int, int], width: int = 2048) -> Plan:
     return Plan(*columns, sequence)
 
 
-def _complement(have: np.ndarray, top: int, gap: int) -> list[int] | None:
-    """Lengths that fill the gap beside `top` exactly: none, one, two or three of those available, long ones first."""
-    if gap == 0:
-        return []
-    left = have.copy()
-    left[top] -= 1
-    if left[gap] > 0:
-        return [gap]
-    some = left > 0
-    a = np.arange(gap - 1, (gap - 1) // 2, -1)
-    good = a[some[a] & some[gap - a] & ((a != gap - a) | (left[a] > 1))]
-    if len(good):
-        return [int(good[0]), gap - int(good[0])]
-    for x in np.flatnonzero(some[:gap])[::-1].tolist():
-        rest = gap - x
-        left[x] -= 1
-        some[x] = left[x] > 0
-        a = np.arange(min(x, rest - 1), (rest - 1) // 2, -1)
-        good = a[some[a] & some[rest - a] & ((a != rest - a) | (left[a] > 1))]
-        left[x] += 1
-        some[x] = True
-        if len(good):
-            return [x, int(good[0]), rest - int(good[0])]
-    return None
-
-
 def pieces(docs: DataFrame, tokenizer: str, width: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece: a text's ids, then 0, cut only where longer than width.
 
@@ -169,4 +196,5 @@ def pack(cut: DataFrame, width: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, width: int = 2048) -> DataFrame:
+    """pack() of pieces(): a row for each piece of each row of docs, none for an empty table; other columns are not read."""
     return pack(pieces(docs, tokenizer, width), width)
