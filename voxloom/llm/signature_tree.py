@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join with signature trees, exact at its threshold.
 
-1. One pass gives each text a key of its shingle set (texts with equal sets are one class from here on) and adds all
-   shingles into a count sketch of fixed size. The sketch only orders shingles, rare ones first; any order is valid.
+1. One pass gives each text a key of 128 bits of its shingle set and adds all shingles into a count sketch of fixed size.
+   The sketch only orders shingles, rare ones first; any order is valid. Texts with equal sets are one class, kept once
+   from here on, so copies of a text meet nowhere.
 2. By prefix filtering, two sets that reach the threshold share one of the first |s| - ceil(0.8 |s|) + 1 shingles of that
    order, so classes meet in buckets of such shingles. Buckets with one class are dropped.
 3. Within a group of classes, a signature tree joins them: leaves are sets, nodes hold the OR of their token bitmaps and
@@ -13,6 +14,7 @@
    out if no other component there has a set of a size that could reach the threshold with it.
 
 Sets travel as compressed texts and are computed where they meet: a text takes about a quarter of its shingles' hashes.
+Shingles are compared by hashes of 64 bits, whole sets by those of all their shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import U64, fan_out, materialize, shingle_sets, slices, small_batches, text_buffers
+from voxloom.llm.common import U64, fan_out, materialize, shingle_sets, slices, small_batches, text_buffers, text_key
 from voxloom.llm.graph import components
 
 #: Likeness in hundredths; classes a block of a large bucket holds.
@@ -44,31 +46,34 @@ def _per_text(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarr
             yield lo + i, s
 
 
-def _key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def classes_and_sketch(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.ndarray]:
+_KEYED = "doc_id long, n_shingles long, set_key binary, text_key binary"
+
+
+def keys_and_sketch(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n_shingles, set_key (null without words) and text_key of every row, and the counters of all shingles."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << _BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("text_key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("text_key", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            keys: list[int | None] = []
+            keys: list[bytes | None] = []
             sizes = []
             for _, s in _per_text(batch, width):
                 sizes.append(len(s))
                 keys.append(_key(s) if len(s) else None)
                 np.add.at(counters, (s >> U64(64 - _BITS)).astype(np.int64), 1)
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch["text_key"], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), batch["text_key"].cast(pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = counters.astype("<u4").reshape(-1, _CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         n = len(some)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], schema=schema)
 
-    both = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(gather, "doc_id long, n_shingles long, set_key long, text_key long, chunk int, counts binary"), "shingle-sets")
+    both = materialize(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(gather, f"{_KEYED}, chunk int, counts binary"), "shingle-sets")
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -84,6 +89,34 @@ def classes_and_sketch(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.n
     return both.where("chunk is null").select("doc_id", "n_shingles", "set_key", "text_key"), counters.ravel()
 
 
+def classes_of(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """node (a number of its own), set_key, size and compressed text of every class of equal sets, from one of its texts.
+
+    Only the text chosen for a class is joined with its key, so a class of many copies is as light as any other.
+    """
+    chosen = keyed.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "n_shingles")).alias("k")).select("set_key", "k.*")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
+        for batch in batches:
+            yield pa.record_batch([batch["doc_id"].cast(pa.int64()), batch["text_key"].cast(pa.binary()), pa.array([press.compress((x or "").encode()) for x in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "text_key", "packed"])
+
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(pack, "doc_id long, text_key binary, packed binary")
+    found = texts.join(chosen, ["doc_id", "text_key"]).select("set_key", F.col("n_shingles").alias("size"), "packed")
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows repeated in full follow one another here: one of each."""
+        seen = None
+        for batch in batches:
+            keys = batch["set_key"].to_pylist()
+            fresh = [k != before for k, before in zip(keys, [seen, *keys])]
+            seen = keys[-1] if keys else seen
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    once = found.sortWithinPartitions("set_key").mapInArrow(first, "set_key binary, size long, packed binary")
+    return materialize(once.withColumn("node", F.monotonically_increasing_id()), "sets")
+
+
 def prefix(s: np.ndarray, counters: np.ndarray) -> np.ndarray:
     """The first shingles in the order of counter, then value: as many as must share one with any set that links."""
     n = len(s) - (LIKENESS * len(s) + 99) // 100 + 1
@@ -167,7 +200,7 @@ def _prune(level: tuple, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarra
 
 
 def _join_groups(groups: DataFrame, sets: DataFrame, pieces: int, width: int) -> DataFrame:
-    """Links (a, b) within the rows of each `place`; groups: place, set_key, component, role."""
+    """Links (a, b) within the rows of each `place`; groups: place, node, component, role."""
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: int | None = None
@@ -178,7 +211,7 @@ def _join_groups(groups: DataFrame, sets: DataFrame, pieces: int, width: int) ->
             return pa.record_batch([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for p, key, component, role, packed in zip(*(batch[c].to_pylist() for c in ("place", "set_key", "component", "role", "packed")), strict=True):
+            for p, key, component, role, packed in zip(*(batch[c].to_pylist() for c in ("place", "node", "component", "role", "packed")), strict=True):
                 if held and p != place:
                     yield close()
                     held = []
@@ -187,8 +220,8 @@ def _join_groups(groups: DataFrame, sets: DataFrame, pieces: int, width: int) ->
         if held:
             yield close()
 
-    rows = groups.join(sets, "set_key").select("place", "set_key", "component", "role", "packed")
-    return rows.repartition(pieces, "place").sortWithinPartitions("place", "set_key").mapInArrow(links, "a long, b long")
+    rows = groups.join(sets, "node").select("place", "node", "component", "role", "packed")
+    return rows.repartition(pieces, "place").sortWithinPartitions("place", "node").mapInArrow(links, "a long, b long")
 
 
 def link(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -210,8 +243,8 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     member = _members(docs, width).where("component is not null")
     kept = member.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(worded).withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_key", F.xxhash64("text"))
-    rows = rows.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "text"])
+    rows = docs.where(worded).withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_key", text_key(F.col("text")))
+    rows = rows.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
     return rows.select(*columns).unionByName(docs.where(~worded))
 
 
@@ -220,46 +253,52 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
-    classes, counters = classes_and_sketch(docs, width)
+    keyed, counters = keys_and_sketch(docs, width)
+    sets = classes_of(docs, keyed)
     pieces = 2 * fan_out(spark)
 
     def postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(_key(s), prefix(s, counters)) for _, s in _per_text(batch, width) if len(s)]
-            tokens = np.concatenate([np.zeros(0, U64), *(p for _, p in found)])
-            yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(np.repeat(np.array([k for k, _ in found], np.int64), [len(p) for _, p in found]))], names=["token", "set_key"])
-
-    bucket = Window.partitionBy("token")
-    met = docs.select("text").mapInArrow(postings, "token long, set_key long")
-    met = met.withColumn("lo", F.min("set_key").over(bucket)).withColumn("hi", F.max("set_key").over(bucket)).where("lo < hi").select("token", "set_key").distinct()
-    met = materialize(met, "buckets")
-    counts = met.groupBy("token").agg(F.count("*").alias("n"))
-    sets = _sets(docs, classes, met.select("set_key").distinct(), width)
-
-    sized = met.join(counts, "token")
-    most = sized.groupBy("set_key").agg(F.max(F.struct("n", "token")).alias("m")).select("set_key", "m.n", "m.token")
-    salt = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / BLOCK))
-    first = most.select(F.xxhash64("token", salt).alias("place"), "set_key", F.col("set_key").alias("component"), F.lit(3).alias("role"))
+            found = [prefix(s, counters) for s in _unpacked(batch["packed"].to_pylist(), width)]
+            tokens = np.concatenate([np.zeros(0, U64), *found])
+            yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(zero_copy_only=False), [len(p) for p in found]), pa.int64())], names=["token", "node"])
+
+    met = sets.select("node", "packed").mapInArrow(postings, "token long, node long")
+    met = materialize(met.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1"), "buckets")
+
+    most = met.groupBy("node").agg(F.max(F.struct("n", "token")).alias("m")).select("node", "m.n", "m.token")
+    first = most.select(F.xxhash64("token", _share("n")).alias("place"), "node", F.col("node").alias("component"), F.lit(3).alias("role"))
     edges = materialize(_join_groups(first, sets, pieces, width), "links")
     known = components(edges)
 
-    labelled = materialize(_labels(sized, known), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = labelled.join(mixed, "token")
-    small = open_.where(F.col("n") <= BLOCK).join(sets.select("set_key", "size"), "set_key")
-    lists = small.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("set_key", "component", "size"))).alias("members"))
+    labelled = materialize(_labels(met, known), "labelled")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n")).where("lo < hi")
+    open_ = _with_bucket(labelled, mixed.select("token", "n"))
+    small = open_.where(F.col("n") <= BLOCK).join(sets.select("node", "size"), "node")
+    lists = small.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "component", "size"))).alias("members"))
     lists = lists.select(F.filter("members", lambda m: F.exists("members", lambda o: _could_link(m, o))).alias("members")).where(F.size("members") > 1).distinct()
-    small = lists.select(F.xxhash64("members").alias("place"), F.explode("members").alias("m")).select("place", "m.set_key", "m.component", F.lit(3).alias("role"))
+    small = lists.select(F.xxhash64("members").alias("place"), F.explode("members").alias("m")).select("place", "m.node", "m.component", F.lit(3).alias("role"))
     large = _blocks(open_.where(F.col("n") > BLOCK))
     more = materialize(_join_groups(small.unionByName(large), sets, pieces, width), "links")
     final = components(edges.union(more))
 
-    return classes.join(_labels(classes.where("set_key is not null").select("set_key").distinct(), final), "set_key", "left")
+    return keyed.join(_labels(sets.select("node", "set_key"), final).select("set_key", "component"), "set_key", "left")
+
+
+def _share(n: str) -> Column:
+    """Which block of its bucket of n classes a class falls into."""
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
+
 
+def _with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows (token, n, node) joined with one row a bucket, block by block, so that no bucket meets in one task."""
+    blocks = buckets.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / BLOCK) - 1))).drop("n")
+    return rows.withColumn("share", _share("n")).join(blocks, ["token", "share"]).drop("share")
 
-def _labels(keys: DataFrame, known: DataFrame) -> DataFrame:
-    """keys with the component of each set_key: itself where no link is known."""
-    return keys.join(known.select(F.col("node").alias("set_key"), F.col("component").alias("linked")), "set_key", "left").withColumn("component", F.coalesce("linked", "set_key")).drop("linked")
+
+def _labels(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """nodes with the component of each: itself where no link is known."""
+    return nodes.join(known.withColumnRenamed("component", "linked"), "node", "left").withColumn("component", F.coalesce("linked", "node")).drop("linked")
 
 
 def _could_link(a: Column, b: Column) -> Column:
@@ -276,37 +315,16 @@ def _unpacked(packed: list[bytes], width: int) -> list[np.ndarray]:
     return [s for lo, hi in slices(offsets) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)]
 
 
-def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """set_key, size and compressed text of the classes in keys, each from its first document."""
-    chosen = classes.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor()
-        for batch in batches:
-            yield pa.record_batch([batch["doc_id"].cast(pa.int64()), pa.array([press.compress((x or "").encode()) for x in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "packed"])
-
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, packed = batch["set_key"].to_pylist(), batch["packed"].to_pylist()
-            found = [(keys[i], len(s), packed[i]) for i, s in enumerate(_unpacked(packed, width)) if len(s) and _key(s) == keys[i]]  # a doc_id may have other texts
-            columns = zip(*found, strict=True) if found else [[]] * 3
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["set_key", "size", "packed"])
-
-    small = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
-    found = small.join(chosen, "doc_id").select("set_key", "packed").mapInArrow(whole, "set_key long, size long, packed binary")
-    return materialize(found.dropDuplicates(["set_key"]), "sets")
-
-
 def _blocks(rows: DataFrame) -> DataFrame:
     """Large buckets: the largest component in blocks against the others in blocks, and the others among themselves."""
-    share = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
-    main = share.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("main"), F.col("m.k").alias("k"))
-    rows = rows.join(main, "token").withColumn("inside", F.ceil(F.col("k") / BLOCK)).withColumn("outside", F.ceil((F.col("n") - F.col("k")) / BLOCK))
+    share = rows.groupBy("token", "component").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    main = share.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m"), F.max("n").alias("n")).select("token", "n", F.col("m.component").alias("main"), F.col("m.k").alias("k"))
+    rows = _with_bucket(rows, main).withColumn("inside", F.ceil(F.col("k") / BLOCK)).withColumn("outside", F.ceil((F.col("n") - F.col("k")) / BLOCK))
     is_main = F.col("component") == F.col("main")
-    at = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n))
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     series = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
     cross = rows.withColumn("i", F.explode(F.when(is_main, F.array(at("inside"))).otherwise(series("inside")))).withColumn("j", F.explode(F.when(is_main, series("outside")).otherwise(F.array(at("outside")))))
-    cross = cross.select(F.xxhash64("token", F.lit("cross"), "i", "j").alias("place"), "set_key", "component", F.when(is_main, 1).otherwise(2).alias("role"))
+    cross = cross.select(F.xxhash64("token", F.lit("cross"), "i", "j").alias("place"), "node", "component", F.when(is_main, 1).otherwise(2).alias("role"))
     others = rows.where(~is_main).withColumn("i", at("outside")).withColumn("j", F.explode(series("outside")))
-    others = others.select(F.xxhash64("token", F.lit("others"), F.least("i", "j"), F.greatest("i", "j")).alias("place"), "set_key", "component", F.lit(3).alias("role"))
+    others = others.select(F.xxhash64("token", F.lit("others"), F.least("i", "j"), F.greatest("i", "j")).alias("place"), "node", "component", F.lit(3).alias("role"))
     return cross.unionByName(others)
