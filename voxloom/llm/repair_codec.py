@@ -1,8 +1,9 @@
 """Token ids in shards compressed by Re-Pair grammars, with random access to each document.
 
 A shard is one row of a Parquet table: its piece and number, how many ids it holds and a self-contained blob (magic
-"RPG1", header, document ids, symbol offsets, rules as pairs, expansion lengths, symbols). Pairs never cross documents,
-so a document's symbols are a slice and its ids the expansion of that slice alone.
+"RPG2", header, document ids, symbol offsets, the shard's own alphabet, rules as pairs, expansion lengths, symbols;
+pairs and symbols packed at the bits that the largest needs). Pairs never cross documents, so a document's symbols are
+a slice and its ids the expansion of that slice alone.
 """
 
 from __future__ import annotations
@@ -16,161 +17,211 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import fan_out, materialize, range_bounds, range_index, small_batches, text_buffers
+from voxloom.llm.common import materialize, pieces_by_size, ragged, range_bounds, range_index, small_batches, text_buffers
 from voxloom.llm.tokens import encoder
 
-MAGIC = b"RPG1"
-_HEAD = struct.Struct("<4sIQQIIB")
+MAGIC = b"RPG2"
+_HEAD = struct.Struct("<4sQIIIQBB")
 _NO_ID = -(1 << 63)
 
 
-def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 8, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, n + 1 symbol offsets of the documents, rules). Symbols from `base` on stand for rules[symbol - base].
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(alphabet, symbols, n + 1 symbol offsets of the documents, rules) by Re-Pair.
 
-    Each round counts all pairs inside documents and replaces, from the most frequent on, all pairs that share no
-    symbol in opposite roles (so that no two occurrences overlap); of a run of one symbol every other pair is taken.
+    Symbols below len(alphabet) are ids, the others stand for rules[symbol - len(alphabet)]. Pairs are replaced until
+    none occurs `least` times (a rule costs two symbols and a length, so rarer pairs do not pay). A round counts the pairs
+    and replaces, from the most frequent on, all that cannot overlap one taken before, for no symbol is the left of one and
+    the right of another; the order among them then makes no difference. Of a run of one symbol every other pair is taken.
+    A pair found rare stays rare, for its symbols only get fewer; only places beside new symbols are counted anew.
     """
-    rules: list[tuple[int, int]] = []
-    seq, starts = seq.astype(np.uint64), starts.astype(np.int64)
-    most = (1 << 17) - base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        inside = np.ones(len(seq) - 1, bool)
-        ends = starts[1:-1] - 1
-        inside[ends[(ends >= 0) & (ends < len(inside))]] = False
-        at = np.flatnonzero(inside)
-        key = seq[at] << np.uint64(47) | seq[at + 1] << np.uint64(30) | at.astype(np.uint64)
-        key.sort()
-        pair = key >> np.uint64(30)
-        edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    alphabet, seq = np.unique(ids, return_inverse=True)
+    seq, starts, base = seq.astype(np.uint64), starts.astype(np.int64), len(alphabet)
+    closed = np.zeros(len(seq), bool)  # the last symbols of documents
+    closed[starts[1:][starts[1:] > 0] - 1] = True
+    hot = np.ones(len(seq), bool)
+    rules = np.zeros((0, 2), np.int64)
+    while True:
+        at = np.flatnonzero(hot & ~closed)
+        symbols, n = base + len(rules), len(seq)
+        wide, deep = symbols.bit_length(), n.bit_length()
+        if 2 * wide + deep <= 64:
+            key = (seq[at] << np.uint64(wide + deep)) | (seq[at + 1] << np.uint64(deep)) | at.astype(np.uint64)
+            key.sort()
+            spot = (key & np.uint64((1 << deep) - 1)).astype(np.int64)
+            pair = key >> np.uint64(deep)
+        else:
+            wide = 32
+            pair = (seq[at] << np.uint64(wide)) | seq[at + 1]
+            order = np.argsort(pair, kind="stable")
+            spot, pair = at[order], pair[order]
+        edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(pair)))
+        hot[spot] = np.repeat(count >= least, count)
         good = np.flatnonzero(count >= least)
-        good = good[np.argsort(-count[good], kind="stable")][: min(4000, most - len(rules))]
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        chosen = []
-        for g in good.tolist():
-            a, b = int(pair[edge[g]] >> np.uint64(17)), int(pair[edge[g]]) & 0x1FFFF
-            if a in rights or b in lefts or (a == b and (a in lefts or b in rights)):
-                continue
-            lefts.add(a)
-            rights.add(b)
-            if a == b:
-                lefts.add(b)
-                rights.add(a)
-            chosen.append(g)
-            rules.append((a, b))
-        if not chosen:
-            break
-        symbol = np.full(len(seq), -1, np.int64)
-        size = count[chosen]
-        spots = np.concatenate([key[edge[g] : edge[g] + n] for g, n in zip(chosen, size.tolist(), strict=True)]) & np.uint64((1 << 30) - 1)
-        symbol[spots.astype(np.int64)] = np.repeat(base + len(rules) - len(chosen) + np.arange(len(chosen)), size)
+        if not len(good):
+            return alphabet, seq.astype(np.uint32), starts, rules
+        good = good[np.argsort(-count[good], kind="stable")]
+        left = (pair[edge[good]] >> np.uint64(wide)).astype(np.int64)
+        right = (pair[edge[good]] & np.uint64((1 << wide) - 1)).astype(np.int64)
+        free = _without_overlap(left, right, symbols)
+        chosen = good[free]
+        name = np.full(len(edge), -1)
+        name[chosen] = symbols + np.arange(len(chosen))
+        rules = np.concatenate([rules, np.stack([left[free], right[free]], axis=1)])
+        named = np.repeat(name, count)
+        taken = named >= 0
+        symbol = np.full(n, -1)
+        symbol[spot[taken]] = named[taken]
         hit = symbol >= 0
-        first = hit.copy()
-        first[1:] &= ~hit[:-1]
-        run_start = np.maximum.accumulate(np.where(first, np.arange(len(seq)), 0))
-        hit &= (np.arange(len(seq)) - run_start) % 2 == 0
-        seq[hit] = symbol[hit].astype(np.uint64)
-        keep = np.ones(len(seq), bool)
-        keep[1:] = ~hit[:-1]
+        if (left == right)[free].any():
+            first = hit.copy()
+            first[1:] &= ~hit[:-1]
+            run = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+            hit &= (np.arange(n) - run) % 2 == 0
+        hits = np.flatnonzero(hit)
+        seq[hits] = symbol[hits].astype(np.uint64)
+        closed[hits] = closed[hits + 1]
+        hot[hits] = True
+        hot[np.maximum(hits - 1, 0)] = True
+        keep = np.ones(n, bool)
+        keep[hits + 1] = False
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
-        seq = seq[keep]
-    return seq.astype(np.uint32), starts, np.array(rules, np.uint32).reshape(-1, 2)
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids that the symbols stand for."""
-    seq = symbols.astype(np.uint32)
-    while (high := seq >= base).any():
-        at = np.cumsum(np.where(high, 2, 1))
-        out = np.zeros(int(at[-1]), np.uint32)
-        out[at[~high] - 1] = seq[~high]
-        pairs = rules[seq[high] - base]
-        out[at[high] - 2], out[at[high] - 1] = pairs[:, 0], pairs[:, 1]
-        seq = out
-    return seq
-
-
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each rule stands for; rules name only earlier ones."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((1 if a < base else out[a - base]) + (1 if b < base else out[b - base]))
-    return np.array(out, np.uint32)
-
-
-def write_shard(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None], base: int, first: int) -> bytes:
-    """`first`: ids that precede the shard in its piece."""
-    symbols, at, rules = compress(ids, starts, base)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
+        seq, closed, hot = seq[keep], closed[keep], hot[keep]
+
+
+def _without_overlap(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
+    """Which pairs to take, from the first on, so that no symbol is the left of one and the right of another.
+
+    In each step those go in that come before all undecided pairs they clash with, and pairs that clash with them go out.
+    """
+    out, is_left, is_right = np.zeros(len(left), bool), np.zeros(symbols, bool), np.zeros(symbols, bool)
+    as_left, as_right = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
+    rank = np.arange(len(left))
+    while len(rank):
+        a, b = left[rank], right[rank]
+        as_left[a], as_left[b], as_right[a], as_right[b] = (len(left),) * 4
+        as_left[a[::-1]], as_right[b[::-1]] = rank[::-1], rank[::-1]
+        good = np.where(a == b, (as_left[a] == rank) & (as_right[a] == rank), (as_right[a] > rank) & (as_left[b] > rank))
+        out[rank[good]] = True
+        is_left[a[good]], is_right[b[good]] = True, True
+        rank = rank[~good & ~is_right[a] & ~is_left[b]]
+        rank = rank[~((left[rank] == right[rank]) & (is_left[left[rank]] | is_right[left[rank]]))]
+    return out
+
+
+def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
+    """How many ids each symbol stands for; rules name only earlier symbols."""
+    out = np.ones(base + len(rules), np.int64)
+    for a, b in _blocks(base, rules):
+        out[base + a : base + b] = out[rules[a:b, 0]] + out[rules[a:b, 1]]
+    return out
+
+
+def _blocks(base: int, rules: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rules that name no rule of their own run."""
+    top, a = rules.max(axis=1, initial=0), 0
+    while a < len(rules):
+        far = top[a:] >= base + a
+        b = a + int(far.argmax()) if far.any() else len(rules)
+        yield a, b
+        a = b
+
+
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    planes = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]
+    return np.packbits(planes).tobytes()
+
+
+def _unpack(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
+    planes = np.zeros((n, 32), np.uint8)
+    planes[:, 32 - bits :] = np.unpackbits(raw, count=n * bits).reshape(n, bits)
+    return np.packbits(planes, axis=1).view(">u4").ravel().astype(np.int64)
+
+
+def write_shard(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None], first: int) -> bytes:
+    """`first`: ids that precede the shard in its piece. Ids may be any numbers below 2**32."""
+    alphabet, symbols, at, rules = compress(ids, starts)
+    lengths = expansion_lengths(len(alphabet), rules)[len(alphabet) :]
+    bits = max(1, (len(alphabet) + len(rules) - 1).bit_length())
+    size = 1 if lengths.max(initial=0) < 1 << 8 else 2 if lengths.max() < 1 << 16 else 4
     keys = np.array([_NO_ID if x is None else x for x in doc_ids], "<i8")
-    head = _HEAD.pack(MAGIC, base, first, len(symbols), len(doc_ids), len(rules), width)
-    return b"".join([head, keys.tobytes(), at.astype("<u8").tobytes(), rules.astype(f"<u{width}").tobytes(), expansion_lengths(rules, base).astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes()])
+    head = _HEAD.pack(MAGIC, first, len(doc_ids), len(alphabet), len(rules), len(symbols), bits, size)
+    return b"".join([head, keys.tobytes(), at.astype("<u4").tobytes(), alphabet.astype("<u4").tobytes(), _pack(rules.ravel(), bits), lengths.astype(f"<u{size}").tobytes(), _pack(symbols, bits)])
 
 
 class Shard:
-    """A shard read from its blob; `document(i)` expands one document without the others."""
+    """A shard read from its blob; documents and single ids are decoded without the others."""
 
     def __init__(self, blob: bytes) -> None:
-        magic, self.base, self.first, n, docs, rules, width = _HEAD.unpack_from(blob)
+        magic, self.first, docs, alphabet, rules, symbols, bits, size = _HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a shard")
-        at = _HEAD.size
-        take = []
-        for kind, count in (("<i8", docs), ("<u8", docs + 1), (f"<u{width}", 2 * rules), ("<u4", rules), (f"<u{width}", n)):
-            part = np.frombuffer(blob, kind, count, at)
-            at += part.nbytes
-            take.append(part)
-        self.doc_ids = [None if x == _NO_ID else x for x in take[0].tolist()]
-        self.starts, self.rules, self.lengths, self.symbols = take[1].astype(np.int64), take[2].reshape(-1, 2), take[3], take[4]
+        parts, at = [], _HEAD.size
+        for kind, count in (("<i8", docs), ("<u4", docs + 1), ("<u4", alphabet), ("u1", -(-2 * rules * bits // 8)), (f"<u{size}", rules), ("u1", -(-symbols * bits // 8))):
+            parts.append(np.frombuffer(blob, kind, count, at))
+            at += parts[-1].nbytes
+        self.doc_ids = [None if x == _NO_ID else x for x in parts[0].tolist()]
+        self.starts, self.alphabet = parts[1].astype(np.int64), parts[2]
+        self.rules = _unpack(parts[3], 2 * rules, bits).reshape(-1, 2)
+        self.lengths = np.concatenate([np.ones(alphabet, np.int64), parts[4].astype(np.int64)])
+        self.symbols = _unpack(parts[5], symbols, bits)
+        self._flat: np.ndarray | None = None
+        self._places = np.cumsum(self.lengths) - self.lengths
+
+    def _expanded(self) -> np.ndarray:
+        """The ids of all symbols one after the other: each rule is written out once, from those of its two parts."""
+        if self._flat is None:
+            base, size, place = len(self.alphabet), self.lengths, self._places
+            flat = np.zeros(int(size.sum()), np.uint32)
+            flat[:base] = self.alphabet
+            for a, b in _blocks(base, self.rules):
+                one, two, to = self.rules[a:b, 0], self.rules[a:b, 1], place[base + a : base + b]
+                flat[ragged(size[one], to)] = flat[ragged(size[one], place[one])]
+                flat[ragged(size[two], to + size[one])] = flat[ragged(size[two], place[two])]
+            self._flat = flat
+        return self._flat
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols[self.starts[i] : self.starts[i + 1]], self.rules, self.base)
+        own = self.symbols[self.starts[i] : self.starts[i + 1]]
+        return self._expanded()[ragged(self.lengths[own], self._places[own])]
+
+    def offsets(self) -> np.ndarray:
+        """Ids before each document, and at last all of them, from expansion lengths alone."""
+        return np.concatenate([[0], np.cumsum(self.lengths[self.symbols])])[self.starts]
 
     def id_at(self, i: int, k: int) -> int:
         """The k-th id of document i: skips whole symbols by their expansion lengths, then walks down one rule."""
-        own = self.symbols[self.starts[i] : self.starts[i + 1]].astype(np.int64)
-        size = np.ones(len(own), np.int64)
-        size[own >= self.base] = self.lengths[own[own >= self.base] - self.base]
-        ends = np.cumsum(size)
+        own = self.symbols[self.starts[i] : self.starts[i + 1]]
+        ends = np.cumsum(self.lengths[own])
         j = int(np.searchsorted(ends, k, "right"))
-        symbol, k = int(own[j]), k - int(ends[j] - size[j])
-        while symbol >= self.base:
-            a, b = (int(x) for x in self.rules[symbol - self.base])
-            n = 1 if a < self.base else int(self.lengths[a - self.base])
-            symbol, k = (a, k) if k < n else (b, k - n)
-        return symbol
-
-    def documents(self) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and each document's n + 1 places."""
-        size = np.ones(len(self.symbols), np.int64)
-        high = self.symbols >= self.base
-        size[high] = self.lengths[self.symbols[high].astype(np.int64) - self.base]
-        return expand(self.symbols, self.rules, self.base), np.concatenate([[0], np.cumsum(size)])[self.starts]
+        symbol, k = int(own[j]), k - int(ends[j] - self.lengths[own[j]])
+        while symbol >= len(self.alphabet):
+            a, b = self.rules[symbol - len(self.alphabet)].tolist()
+            symbol, k = (a, k) if k < self.lengths[a] else (b, k - int(self.lengths[a]))
+        return int(self.alphabet[symbol])
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 17) -> DataFrame:
     """The written table of shards (piece, shard, n_ids, blob), ids in ascending doc_id order within and across pieces.
 
     A null or empty text is the end id alone; a null doc_id comes first; rows that share a doc_id keep the order of
-    their ids. Texts are encoded where they are read; only ids are shuffled, to ranges of doc_id.
+    their ids. A shard is closed once it holds `shard_ids` ids; a longer document has one of its own. Texts are encoded
+    where they are read; only ids are shuffled, to ranges of doc_id, as many as the size of the texts asks for.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
     kind = "<u2" if base <= 1 << 16 else "<u4"
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    bounds = range_bounds(docs.select("doc_id"), "doc_id", fan_out(spark))
+    bounds = range_bounds(docs.select("doc_id"), "doc_id", pieces_by_size(docs, "text"))
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
+        last = np.array([end_id], kind).tobytes()
+        k = np.dtype(kind).itemsize
         for batch in batches:
             ids, at = encode(*text_buffers(batch["text"]))
             raw = ids.astype(kind).tobytes()
-            last = np.array([end_id], kind).tobytes()
-            k = np.dtype(kind).itemsize
             yield pa.record_batch([batch["doc_id"], pa.array([raw[a * k : b * k] + last for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "ids"])
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +229,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int =
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            blob = write_shard(ids, np.concatenate([[0], np.cumsum([len(x) for x in held])]), keys, base, first)
+            blob = write_shard(ids, np.concatenate([[0], np.cumsum([len(x) for x in held])]), keys, first)
             return pa.record_batch([pa.array([piece], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["piece", "shard", "n_ids", "blob"])
 
         size = 0
@@ -196,14 +247,15 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int =
             yield close()
 
     ids = docs.mapInArrow(encoded, "doc_id long, ids binary").withColumn("piece", range_index(F.col("doc_id"), bounds))
-    ordered = ids.repartition(max(1, len(bounds)), "piece").sortWithinPartitions("piece", "doc_id", "ids")
+    ordered = ids.repartitionById(max(1, len(bounds)), F.col("piece")).sortWithinPartitions("piece", "doc_id", "ids")
     return materialize(ordered.mapInArrow(shards, "piece int, shard int, n_ids long, blob binary"), "token-shards")
 
 
 def read_ids(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written shards.
 
-    Each piece's first place is the sum of those before it: one number a piece comes to the driver.
+    Places come from expansion lengths, ids by random access, a document at a time. Each piece's first place is the sum
+    of those before it: one number a piece comes to the driver.
     """
     spark = shards.sparkSession
     totals = sorted((r["piece"], r["n"]) for r in shards.groupBy("piece").agg(F.sum("n_ids").alias("n")).collect())
@@ -217,10 +269,8 @@ def read_ids(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for piece, blob in zip(batch["piece"].to_pylist(), batch["blob"], strict=True):
                 shard = Shard(blob.as_buffer().to_pybytes())
-                ids, at = shard.documents()
-                raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                n = len(crc)
+                at, n = shard.offsets(), len(shard.doc_ids)
+                crc = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(n)]
                 yield pa.record_batch([pa.array([piece] * n, pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(shard.first + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["piece", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     found = shards.select("piece", "blob").mapInArrow(decoded, "piece int, doc_id long, own long, n_tokens long, ids_crc32 long")
