@@ -1,9 +1,10 @@
 """WARC archives and a fixity audit of their replicas by Merkle trees.
 
-Pages are written as WARC/1.1 response records, joined into archives of about a megabyte. The fixity index of an archive
-is a Merkle tree: leaves hash the bytes of a record at its offsets, inner nodes hash the range and digest of up to FAN
-children in order. Roots of archives are hashed on by ranges of archive numbers, up to one root for all. A replica is hashed at the offsets that the index records, for a damaged archive may not parse. The audit compares
-roots and goes down only where they differ, first through the levels above the archives, then within an archive's tree.
+Pages are written as WARC/1.1 response records, joined into archives of about a megabyte. The tree of an archive has
+leaves that hash the bytes of a record at its offsets and inner nodes, all stored, that hash the offsets and digests of up
+to FAN children in order; its root, at level ROOT, joins whatever is left. Roots of archives are hashed on to one node for
+each piece (the archives that one task wrote), for 4,096 pieces and for all. The audit compares the topmost nodes of both
+replicas and then, level by level, the children of nodes that differ and no others.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import STEP, fan_out, materialize, range_bounds, range_index, small_batches, text_list
+from voxloom.llm.common import STEP, materialize, pieces_by_size, small_batches, text_list
 
-FAN = 16
+FAN, ROOT = 16, 3
+#: Bits of an archive's number that count within its piece, and that each level above the pieces drops.
+SERIAL, STEP_BITS = 20, 12
+#: The level of the one node above all pieces; piece numbers have 24 bits.
+TOP = ROOT + 3
 _STORED = "archive long, blob binary, page_ids array<long>, stops array<long>"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -55,145 +60,141 @@ def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
 def write_archives(pages: DataFrame, size: int = STEP) -> DataFrame:
     """archive, blob, page_ids and stops (offset after each record) of every archive, in the shared folder.
 
-    Pages are dealt by ranges of page_id and sorted by (page_id, url, html); a larger record is an archive of its own.
-    Null page_ids come first; a null url or html is empty; repeated rows are stored as often as they occur.
+    Pages are dealt by ranges of page_id, then of a hash of url and html, then of their place in the input, as many as the
+    size of the pages asks for, so neither a page_id nor a page with many rows stays in one task. Within a range they are
+    sorted by (page_id, url, html); a larger record is an archive of its own. Null page_ids come first; a null url or html is empty;
+    repeated rows are stored as often as they occur.
     """
-    spark = pages.sparkSession
-    small_batches(spark, 64)
+    small_batches(pages.sparkSession, 64)
     pages = pages.select(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("key"), F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    bounds = range_bounds(pages.select("key"), "key", fan_out(spark))
-    salt = F.pmod(F.xxhash64("url", "html"), F.lit(fan_out(spark)))  # a page_id that holds many rows is split
-    many = pages.groupBy("key").count().where(f"count > {1 << 14}").select("key").withColumn("hot", F.lit(True))
-    dealt = pages.join(many, "key", "left").withColumn("piece", range_index(F.col("key"), bounds)).withColumn("part", F.when(F.col("hot"), salt + 1).otherwise(0))
-    ordered = dealt.repartition(fan_out(spark), "piece", "part").sortWithinPartitions("piece", "part", "key", "url", "html")
+    placed = pages.withColumn("tie", F.xxhash64("url", "html")).withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(pieces_by_size(pages, "html"), "key", "tie", "place").sortWithinPartitions("key", "url", "html")
 
     def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, serial, held, ids, stops = None, 0, [], [], []
+        piece, serial, held, ids, stops = 0, 0, [], [], []
 
         def archive() -> pa.RecordBatch:
-            number = (group[0] << 40) | (group[1] << 20) | serial
-            return pa.record_batch([pa.array([number], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([stops], pa.list_(pa.int64()))], names=["archive", "blob", "page_ids", "stops"])
+            return pa.record_batch([pa.array([piece << SERIAL | serial], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([stops], pa.list_(pa.int64()))], names=["archive", "blob", "page_ids", "stops"])
 
         for batch in batches:
-            rows = zip(batch["piece"].to_pylist(), batch["part"].to_pylist(), batch["page_id"].to_pylist(), text_list(batch["url"]), text_list(batch["html"]), strict=True)
-            for piece, part, page_id, url, html in rows:
+            for piece, page_id, url, html in zip(batch["piece"].to_pylist(), batch["page_id"].to_pylist(), text_list(batch["url"]), text_list(batch["html"]), strict=True):
                 raw = record(page_id, url, html)
-                if held and ((piece, part) != group or stops[-1] + len(raw) > size):
+                if held and stops[-1] + len(raw) > size:
                     yield archive()
-                    serial = serial + 1 if (piece, part) == group else 0
-                    held, ids, stops = [], [], []
-                group = (piece, part)
+                    serial, held, ids, stops = serial + 1, [], [], []
                 held.append(raw)
                 ids.append(page_id)
                 stops.append((stops[-1] if stops else 0) + len(raw))
         if held:
             yield archive()
 
-    return materialize(ordered.select("piece", "part", "page_id", "url", "html").mapInArrow(written, _STORED), "warc")
+    return materialize(ordered.select(F.spark_partition_id().alias("piece"), "page_id", "url", "html").mapInArrow(written, _STORED), "warc")
 
 
-def _node(children: list[tuple[int, int, bytes]]) -> tuple[int, int, bytes]:
+Node = tuple[int, int, bytes]
+
+
+def _node(children: list[Node]) -> Node:
     digest = hashlib.sha256(b"\x01" + b"".join(a.to_bytes(8, "big") + b.to_bytes(8, "big") + h for a, b, h in children)).digest()
     return children[0][0], children[-1][1], digest
 
 
-def tree(blob: bytes, stops: list[int]) -> list[list[tuple[int, int, bytes]]]:
-    """Levels of (start, stop, digest) from the leaves to the root; bytes after the last stop are one more leaf."""
+def tree(blob: bytes, stops: list[int]) -> list[list[Node]]:
+    """Levels 0 to ROOT of (start, stop, digest), from the leaves to the root.
+
+    Bytes after the last stop are one more leaf; stops beyond the end give leaves that hash what there is.
+    """
     view, at, leaves = memoryview(blob), 0, []
     for stop in [*stops, len(blob)] if len(blob) > (stops[-1] if stops else -1) else stops:
         leaves.append((at, stop, hashlib.sha256(b"\x00" + bytes(view[at:stop])).digest()))
         at = stop
-    return raise_levels(leaves)
-
-
-def raise_levels(leaves: Iterable[tuple[int, int, bytes]]) -> list[list[tuple[int, int, bytes]]]:
-    levels = [list(leaves)]
-    while len(levels[-1]) > 1:
+    levels = [leaves]
+    while len(levels) < ROOT:
         levels.append([_node(levels[-1][i : i + FAN]) for i in range(0, len(levels[-1]), FAN)])
-    return levels
-
+    return [*levels, [_node(levels[-1])]]
 
-def descend(left: list[list[tuple[int, int, bytes]]], right: list[list[tuple[int, int, bytes]]]) -> tuple[list[int], int]:
-    """Leaves of `left` that differ in `right`, and how many nodes were compared."""
-    depth, compared, open_ = len(left) - 1, 0, [0]
-    if len(left) != len(right):
-        depth, open_ = 0, list(range(len(left[0])))
-    while True:
-        compared += len(open_)
-        open_ = [i for i in open_ if i >= len(right[depth]) or left[depth][i] != right[depth][i]]
-        if not depth:
-            return open_, compared
-        depth -= 1
-        open_ = [c for i in open_ for c in range(i * FAN, min((i + 1) * FAN, len(left[depth])))]
 
+_NODES = "archive long, level int, node int, start long, stop long, digest binary, page_id long"
 
-_TREES = "archive long, page_ids array<long>, root string, starts array<long>, stops array<long>, digests array<binary>"
 
-
-def index(stored: DataFrame) -> DataFrame:
-    """The fixity index: archive, page_ids, root and the leaves (starts, stops, digests) of every archive."""
+def nodes(stored: DataFrame) -> DataFrame:
+    """All nodes of the trees of all archives: archive, level, node (its number in the level), start, stop, digest, page_id (of leaves)."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["archive", "page_ids", "root", "starts", "stops", "digests"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
         for batch in batches:
             for archive, blob, ids, stops in zip(*(batch[c].to_pylist() for c in ("archive", "blob", "page_ids", "stops")), strict=True):
-                levels = tree(blob, stops)
-                a, b, h = zip(*levels[0], strict=True)
-                yield pa.record_batch([pa.array([archive], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([levels[-1][0][2].hex()]), pa.array([a], pa.list_(pa.int64())), pa.array([b], pa.list_(pa.int64())), pa.array([h], pa.list_(pa.binary()))], names=names)
-
-    return materialize(stored.mapInArrow(hashed, _TREES), "fixity")
+                rows = [(archive, level, i, a, b, h, ids[i] if level == 0 and i < len(ids) else None) for level, row in enumerate(tree(blob, stops)) for i, (a, b, h) in enumerate(row)]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "level", "node", "start", "stop", "digest", "page_id"])
 
+    return stored.select("archive", "blob", "page_ids", "stops").mapInArrow(hashed, _NODES)
 
-def _tops(trees: DataFrame, bits: int) -> list[DataFrame]:
-    """Levels of (node, digest) above the archives, the archives first; each drops 12 bits of the number."""
-    levels = [trees.select(F.col("archive").alias("node"), F.col("root").alias("digest"))]
-    for _ in range(0, bits, 12):  # a step of 12 bits: at most 4096 short digests in a group
-        group = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"]))
-        levels.append(levels[-1].groupBy(F.shiftright("node", 12).alias("up")).agg(F.sha2(F.array_join(group, ","), 256).alias("digest")).withColumnRenamed("up", "node"))
-    return levels
 
+def _above(roots: DataFrame) -> DataFrame:
+    """The nodes above the archives: side, archive (here the number without the dropped bits), level, node 0, digest.
 
-def differing(left: DataFrame, right: DataFrame, bits: int = 60) -> DataFrame:
-    """archive of each archive whose tree differs or is missing on one side; only children of differing nodes are compared."""
+    A node lists the digests of one piece, whose archives one task wrote, or of 4,096 nodes below.
+    """
+    levels = [roots.select("side", "archive", "digest")]
+    for level in range(ROOT + 1, TOP + 1):
+        up = F.shiftright("archive", SERIAL if level == ROOT + 1 else STEP_BITS)
+        listed = F.array_sort(F.collect_list(F.struct("archive", F.hex("digest").alias("h"))))
+        joined = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["archive"].cast("string"), x["h"])), ",")
+        levels.append(levels[-1].groupBy("side", up.alias("archive")).agg(F.unhex(F.sha2(joined, 256)).alias("digest")))
+    out = None
+    for level, df in enumerate(levels[1:], ROOT + 1):
+        df = df.select("side", "archive", F.lit(level).alias("level"), F.lit(0).alias("node"), "digest")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def differing(both: DataFrame, above: DataFrame) -> DataFrame:
+    """archive, node of every leaf that differs between the sides or that one side lacks.
+
+    Each level keeps the children of the nodes that differ above it, and of those the ones without an equal on the other side.
+    """
     found = None
-    for a, b in zip(reversed(_tops(left, bits)), reversed(_tops(right, bits)), strict=True):
+    for level in range(TOP, -1, -1):
+        rows = (above if level > ROOT else both).where(F.col("level") == level).select("side", "archive", "node", "digest")
         if found is not None:
-            a, b = (x.join(F.broadcast(found), F.shiftright(x["node"], 12) == found["up"], "left_semi") if small else x.join(found, F.shiftright(x["node"], 12) == found["up"], "left_semi") for x in (a, b))
-        b = b.select(F.col("node").alias("other"), F.col("digest").alias("second"))
-        unlike = a.join(b, F.col("node") == F.col("other"), "full").where(~F.col("digest").eqNullSafe(F.col("second")))
-        unlike = materialize(unlike.select(F.coalesce("node", "other").alias("up")), "unlike")
-        small = unlike.count() <= 100_000  # 8 bytes each
-        found = unlike
-    return found.select(F.col("up").alias("archive"))
+            if level >= ROOT:
+                up, at = F.shiftright("archive", SERIAL if level == ROOT else STEP_BITS), F.lit(0)
+            else:
+                up, at = F.col("archive"), F.lit(0) if level == ROOT - 1 else F.floor(F.col("node") / FAN).cast("int")
+            rows = rows.withColumn("up", up).withColumn("at", at).join(found.select(F.col("archive").alias("up"), F.col("node").alias("at")), ["up", "at"], "left_semi")
+        met = rows.groupBy("archive", "node").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+        found = met.where("n < 2 or lo <> hi").select("archive", "node")
+    return found
 
 
 def audit(stored: DataFrame, replica: DataFrame) -> DataFrame:
-    """page_id, archive, record, start, stop, record_sha256, replica_sha256, damaged, compared of every record of `stored`.
+    """page_id, archive, record, start, stop, record_sha256, replica_sha256, damaged of every record of `stored`, and of
+    what only the replica holds: bytes after an archive's last record, records and archives of its own.
 
-    record: its number in the archive. replica_sha256: of the replica's bytes at these offsets, null if the archive is missing there.
-    Digests are those of the tree's leaves, over a zero byte and the record. compared: nodes visited in the archive's tree,
-    0 if its root agrees. The replica may lack archives or hold other bytes or lengths; offsets come from `stored`.
+    record: its number in the archive. replica_sha256: null if the replica lacks the record; record_sha256 is null, and
+    page_id the replica's, where `stored` lacks it. Digests are those of the leaves, over a zero byte and the record. A record
+    is damaged if its bytes or offsets differ. The replica has the columns of `stored`; without `stops` and `page_ids` its archives are read
+    at the offsets of `stored`, and archives that `stored` lacks are one record each.
     """
-    held = replica.select("archive", "blob").join(stored.select("archive", "page_ids", "stops"), "archive")
-    left = index(stored)
-    right = index(held.select("archive", "blob", "page_ids", "stops"))
-    bad = differing(left, right).withColumn("unlike", F.lit(True))
-    both = left.join(bad, "archive", "left").join(right.select("archive", F.col("starts").alias("r_starts"), F.col("stops").alias("r_stops"), F.col("digests").alias("r_digests")), "archive", "left")
-
-    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "archive", "record", "start", "stop", "record_sha256", "replica_sha256", "damaged", "compared"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64())
-        for batch in batches:
-            for r in batch.to_pylist():
-                one = list(zip(r["starts"], r["stops"], r["digests"], strict=True))
-                two = list(zip(r["r_starts"] or [], r["r_stops"] or [], r["r_digests"] or [], strict=True))
-                wrong, compared = (set(), 0) if not r["unlike"] else (set(range(len(one))), 0) if not two else descend(raise_levels(one), raise_levels(two))
-                wrong = set(wrong)
-                rows = [(page, r["archive"], i, a, b, h.hex(), two[i][2].hex() if i < len(two) else None, i in wrong, compared) for i, (page, (a, b, h)) in enumerate(zip(r["page_ids"], one, strict=True))]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    schema = "page_id long, archive long, record int, start long, stop long, record_sha256 string, replica_sha256 string, damaged boolean, compared long"
-    return both.mapInArrow(told, schema)
+    if "stops" not in replica.columns:
+        held = replica.select("archive", "blob").join(stored.select("archive", "page_ids", "stops"), "archive", "left")
+        none = F.array().cast("array<long>")
+        replica = held.select("archive", "blob", F.coalesce("page_ids", none).alias("page_ids"), F.coalesce("stops", none).alias("stops"))
+    sides = nodes(stored).withColumn("side", F.lit(0)).unionByName(nodes(replica).withColumn("side", F.lit(1)))
+    both = materialize(sides, "fixity", "level")
+    above = materialize(_above(both.where(F.col("level") == ROOT)), "fixity-tops")
+    bad = materialize(differing(both, above), "unlike").withColumn("unlike", F.lit(True))
+    leaves = both.where("level = 0")
+    left = leaves.where("side = 0").join(bad, ["archive", "node"], "left")
+    right = leaves.where("side = 1").join(bad.select("archive", "node"), ["archive", "node"], "left_semi")
+    right = right.select("archive", "node", *[F.col(c).alias(f"r_{c}") for c in ("digest", "start", "stop", "page_id")])
+    out = left.join(right, ["archive", "node"], "full")
+    damaged = F.col("unlike").isNotNull() | F.col("digest").isNull()
+    name = lambda c: F.lower(F.hex(c))
+    return out.select(
+        F.coalesce("page_id", "r_page_id").alias("page_id"), "archive", F.col("node").alias("record"), F.coalesce("start", "r_start").alias("start"), F.coalesce("stop", "r_stop").alias("stop"),
+        name("digest").alias("record_sha256"), F.when(damaged, name("r_digest")).otherwise(name("digest")).alias("replica_sha256"), damaged.alias("damaged"),
+    )
 
 
 def spoil(stored: DataFrame, every: int = 97) -> DataFrame:
@@ -201,17 +202,18 @@ def spoil(stored: DataFrame, every: int = 97) -> DataFrame:
 
     def flipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, blob, ids, stops in zip(*(batch[c].to_pylist() for c in ("archive", "blob", "page_ids", "stops")), strict=True):
+            for i, (blob, ids, stops) in enumerate(zip(*(batch[c].to_pylist() for c in ("blob", "page_ids", "stops")), strict=True)):
                 raw = bytearray(blob)
                 for page, a, b in zip(ids, [0, *stops], stops):
                     if page is not None and page % every == 0:
                         raw[(a + b) // 2] ^= 1
-                yield pa.record_batch([pa.array([archive], pa.int64()), pa.array([bytes(raw)], pa.binary())], names=["archive", "blob"])
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([row["archive"], pa.array([bytes(raw)], pa.binary()), row["page_ids"], row["stops"]], names=["archive", "blob", "page_ids", "stops"])
 
-    return materialize(stored.mapInArrow(flipped, "archive long, blob binary"), "replica")
+    return stored.select("archive", "blob", "page_ids", "stops").mapInArrow(flipped, _STORED)
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """audit() of the archives of all pages against a replica spoilt by spoil()."""
+    """audit() of the archives of all pages against a replica spoilt by spoil(), which is read but never written; no row for an empty table."""
     stored = write_archives(pages.select("page_id", "url", "html"))
     return audit(stored, spoil(stored))
