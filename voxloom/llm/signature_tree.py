@@ -232,6 +232,7 @@ def link(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     member = _members(docs, width)
     least = member.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(least, "least")  # so that the join below may split a large component
     out = member.join(least, "component", "left")
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).select(real("doc_id"), "n_shingles", real("component_id"))
