@@ -10,9 +10,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from voxloom.llm.common import small_batches, text_buffers
+from voxloom.llm.common import materialize, small_batches, text_buffers
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET = 188
@@ -227,4 +226,5 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    return read_media(store_texts(docs).where(F.col("media").isNotNull()))
+    """read_media() of store_texts(), written as a table and read back; a row for each row of docs, none for an empty table."""
+    return read_media(materialize(store_texts(docs), "media"))
