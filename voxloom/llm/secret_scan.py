@@ -163,11 +163,11 @@ class Scanner:
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]) if s[2] in KINDS else len(KINDS), s[1], s[2]))
 
 
-def learn(docs: DataFrame, sample: int = 400, threshold: float = 8.0, alpha: float = 0.05) -> Scanner:
+def learn(docs: DataFrame, sample: int = 400, threshold: float = 8.0, alpha: float = 0.05, longest: int = 512) -> Scanner:
     """Gather labelled credentials and the class pairs of ordinary runs from all texts, then infer an automaton a kind.
 
-    Counts cover all rows. An automaton is fitted on at most `sample` distinct credentials of its kind, the first by hash;
-    those, and a few hundred pair counts, are all that comes to the driver. A kind without credentials has no automaton.
+    Counts cover all rows. An automaton is fitted on at most `sample` distinct credentials of its kind of at most `longest`
+    characters, the first by hash; those, and a few hundred pair counts, are all that comes to the driver. A kind without credentials has no automaton.
     """
     small_batches(docs.sparkSession)
 
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, sample: int = 400, threshold: float = 8.0, alpha: flo
     ordinary = {pair: math.log(n / totals[pair[0]]) for pair, n in pairs.items()}
     automata = {}
     for kind in KINDS:
-        rows = counts.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+        rows = counts.where((F.col("kind") == kind) & (F.length("value") <= longest)).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         if rows:
             formats: dict[str, int] = defaultdict(int)
             for r in rows:
