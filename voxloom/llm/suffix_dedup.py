@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import STEP, U64, fan_out, materialize, mix, powers, prefix_sums, ragged, slices, small_batches, text_buffers
+from voxloom.llm.common import STEP, U64, fan_out, materialize, mix, powers, prefix_sums, ragged, slices, small_batches, text_buffers, text_key
 
 #: Bytes of a string that counts, of an anchor, and anchors that may start in a string.
 LENGTH, GRAM = 200, 48
@@ -191,7 +191,9 @@ def _runs(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _shard(rows: list[tuple]) -> tuple[pa.RecordBatch, ...]:
     """Covered runs of a shard, and of its split anchors the strings to look up elsewhere; rows: (text_key, packed, split, context)."""
-    key = np.array([r[0] for r in rows], np.int64)
+    names = sorted({r[0] for r in rows})
+    number = {k: i for i, k in enumerate(names)}
+    names, key = np.array(names, object), np.array([number[r[0]] for r in rows], np.int64)
     packed = np.array([r[1] for r in rows], np.int64)
     split = np.array([r[2] for r in rows], bool)
     place, far, near = packed >> 16, packed >> 8 & 0xFF, packed & 0xFF
@@ -200,7 +202,7 @@ def _shard(rows: list[tuple]) -> tuple[pa.RecordBatch, ...]:
     start = place[who] - distance
     runs = _runs(key[who[met]], start[met])
     none = np.zeros(len(runs[0]), np.int64)
-    found = _batch(*runs, none, none, none)
+    found = _batch(names[runs[0]], *runs[1:], none, none, none)
     _, first = np.unique(group, return_index=True)
     alone = np.zeros(len(who), bool)
     alone[first] = True  # one of each group stands for it
@@ -208,7 +210,7 @@ def _shard(rows: list[tuple]) -> tuple[pa.RecordBatch, ...]:
     if not len(ask):
         return (found,)
     one, two = _digests([contexts[i][f - d : f - d + LENGTH] for i, f, d in zip(who[ask].tolist(), far[who[ask]].tolist(), distance[ask].tolist(), strict=True)])
-    return found, _batch(key[who[ask]], start[ask], start[ask] + LENGTH, one, two, np.where(met[ask], 2, 1))
+    return found, _batch(names[key[who[ask]]], start[ask], start[ask] + LENGTH, one, two, np.where(met[ask], 2, 1))
 
 
 def _digests(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,11 +219,11 @@ def _digests(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-_FOUND = "text_key long, start long, stop long, one long, two long, state int"
+_FOUND = "text_key binary, start long, stop long, one long, two long, state int"
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = (pa.int64(),) * 5 + (pa.int32(),)
+    kinds = (pa.binary(),) + (pa.int64(),) * 4 + (pa.int32(),)
     return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["text_key", "start", "stop", "one", "two", "state"])
 
 
@@ -231,7 +233,7 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held) if held else None
     if table is None or not table.num_rows:
         return
-    c = {n: table[n].to_numpy() for n in table.column_names}
+    c = {n: table[n].to_numpy(zero_copy_only=False) for n in table.column_names}
     both = np.rec.fromarrays([c["one"], c["two"]])
     runs = np.sort(both, order=("f0", "f1"))
     times = np.searchsorted(runs, both, "right") - np.searchsorted(runs, both, "left")
@@ -247,15 +249,18 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumn("text", text).withColumn("text_key", F.xxhash64(text))
+    docs = docs.withColumn("text", text).withColumn("text_key", text_key(text))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a task's copies of a text have the same anchors: one of them tells
         for batch in batches:
+            keys = batch["text_key"].to_pylist()
+            batch = batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
             row, h, at, distances = anchors(*text_buffers(batch["text"]))
-            yield pa.record_batch([pa.array(h.view(np.int64)), batch["text_key"].take(pa.array(row)), pa.array(at << 16 | distances)], names=["anchor", "text_key", "packed"])
+            yield pa.record_batch([pa.array(h.view(np.int64)), batch["text_key"].cast(pa.binary()).take(pa.array(row)), pa.array(at << 16 | distances)], names=["anchor", "text_key", "packed"])
 
     same = Window.partitionBy("anchor")
-    met = docs.select("text_key", "text").mapInArrow(find, "anchor long, text_key long, packed long")
+    met = docs.select("text_key", "text").mapInArrow(find, "anchor long, text_key binary, packed long")
     for c, k in (("text_key", "t"), ("packed", "p")):
         met = met.withColumn(f"lo_{k}", F.min(c).over(same)).withColumn(f"hi_{k}", F.max(c).over(same))
     met = met.withColumn("n", F.count("*").over(same)).where("lo_t < hi_t or lo_p < hi_p").select("anchor", "text_key", "packed", "n").distinct()
@@ -268,7 +273,7 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "text_key", "packed", "split", "context"]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.binary())
         for batch in batches:
             for key, text, occurrences in zip(batch["text_key"].to_pylist(), batch["text"].to_pylist(), batch["occurrences"].to_pylist(), strict=True):
                 raw, rows = text.encode(), []
@@ -290,7 +295,7 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield from _shard(rows)
 
     contexts = docs.join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text_key", "text", "occurrences")
-    contexts = contexts.mapInArrow(cut, "shard int, text_key long, packed long, split boolean, context binary")
+    contexts = contexts.mapInArrow(cut, "shard int, text_key binary, packed long, split boolean, context binary")
     found = materialize(contexts.repartition(min(shards, 4 * fan_out(spark)), "shard").sortWithinPartitions("shard").mapInArrow(solve, _FOUND), "covered")
     asked = found.where("state > 0").repartition(fan_out(spark), "one").mapInArrow(_merge, _FOUND)
     spans = found.where("state = 0").unionByName(asked).groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
