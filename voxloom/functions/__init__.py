@@ -1 +1 @@
-
+"""Scalar functions over header fields."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,14 +168,43 @@ def nearest(series: DataFrame, keys: list[str], time: str, row_id: str, derived:
     return out.where("_d").withColumn(name, chosen).drop("_d", "_b", "_a")
 
 
+def glob_regex(pattern: str) -> str:
+    """A glob as a regular expression: * and ? stand for any characters, [..] for one of a set, [!..] for one outside it."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        stop = pattern.find("]", i + 2) if c == "[" else -1
+        if stop > 0:
+            inner = pattern[i + 1 : stop].replace("\\", "\\\\")
+            out.append("[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]")
+            i = stop
+        else:
+            out.append({"*": ".*", "?": "."}.get(c, c if c.isalnum() or c == "_" else "\\" + c))
+        i += 1
+    return "(?s)^" + "".join(out) + r"\z"
+
+
 def matches(path: Column, pattern: str) -> Column:
     """A glob where the pattern holds any of * ? [ ], else a literal substring."""
     if any(c in pattern for c in "*?[]"):
-        regex = fnmatch.translate(pattern).replace(r"\z", r"\z").replace(r"\Z", r"\z")
-        return path.rlike("^" + regex)
+        return path.rlike(glob_regex(pattern))
     return path.contains(pattern)
 
 
+def z_spacing(slices: DataFrame, series: str, iop: Column, ipp: Column) -> DataFrame:
+    """series, z_spacing: median of the positive gaps of positions along the mean unit normal; at least two positions are needed."""
+    u = F.array(*[F.get(iop, k) for k in range(6)])
+    cross = [F.get(u, a) * F.get(u, b) - F.get(u, c) * F.get(u, d) for a, b, c, d in ((1, 5, 2, 4), (2, 3, 0, 5), (0, 4, 1, 3))]
+    rows = slices.select(series, ipp.alias("_p"), *[c.alias(f"_n{k}") for k, c in enumerate(cross)])
+    size = F.sqrt(sum(F.col(f"_n{k}") * F.col(f"_n{k}") for k in range(3)))
+    mean = rows.groupBy(series).agg(*[F.avg(F.try_divide(F.col(f"_n{k}"), size)).alias(f"_m{k}") for k in range(3)])
+    length = F.sqrt(sum(F.col(f"_m{k}") * F.col(f"_m{k}") for k in range(3)))
+    along = sum(F.get("_p", k) * F.try_divide(F.col(f"_m{k}"), length) for k in range(3))
+    placed = rows.join(mean, series).select(series, along.alias("_z"))
+    gap = F.col("_z") - F.lag("_z").over(Window.partitionBy(series).orderBy("_z"))
+    return placed.select(series, gap.alias("_d")).where("_d > 0").groupBy(series).agg(F.median("_d").alias("z_spacing"))
+
+
 def exactly_one(files: DataFrame, folder: str, path: str, patterns: dict[str, str]) -> DataFrame:
     """Folders in which each pattern matches exactly one file, with that file under the pattern's name."""
     aggs = [a for n, p in patterns.items() for a in (F.count_if(matches(F.col(path), p)).alias(f"_n_{n}"), F.min(F.when(matches(F.col(path), p), F.col(path))).alias(n))]

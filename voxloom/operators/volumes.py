@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import ast
 import operator
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Shape = tuple[int, int, int]
@@ -74,6 +77,71 @@ def resample_nearest(values: Column, shape: Shape, out: Shape) -> Column:
     return regrid(values, shape, out, lambda *p: tuple(F.floor(x * s + 0.5) for x, s in zip(p, step, strict=True)))
 
 
+def resample_linear(values: Column, shape: Shape, out: Shape) -> Column:
+    """Endpoint-aligned, from the eight voxels around each place."""
+    step = [(n - 1) / (m - 1) if m > 1 else 0.0 for n, m in zip(shape, out, strict=True)]
+
+    def at(held: Column, i: Column) -> Column:
+        place = [p * s for p, s in zip((F.floor(i / (out[1] * out[2])), F.floor(i / out[2]) % out[1], i % out[2]), step, strict=True)]
+        low = [F.floor(p) for p in place]
+        part = [p - a for p, a in zip(place, low, strict=True)]
+        total = F.lit(0.0)
+        for corner in product((0, 1), repeat=3):
+            x, y, z = (F.least(a + c, F.lit(n - 1)) for a, c, n in zip(low, corner, shape, strict=True))
+            weight = reduce(operator.mul, [f if c else 1 - f for f, c in zip(part, corner, strict=True)])
+            total = total + weight * F.get(held, ((x * shape[1] + y) * shape[2] + z).cast("int"))
+        return total
+
+    grid = F.sequence(F.lit(0), F.lit(out[0] * out[1] * out[2] - 1))
+    return bind(values, lambda held: F.when(held.isNotNull(), F.transform(grid, lambda i: at(held, i))))
+
+
+#: A step of a geometric pipeline: ("flip", axes), ("reorder", plane) or ("pad", ((before, after), ...)).
+Step = tuple[str, object]
+
+
+def apply_steps(values: Column, shape: Shape, steps: Sequence[Step], reverse: bool = False) -> tuple[Column, Shape]:
+    """The ordered steps of a transform record, or in reverse order the inverse of each."""
+    for kind, arg in reversed(steps) if reverse else steps:
+        if kind == "flip":
+            values = flip(values, shape, arg)
+        elif kind == "reorder":
+            values, shape = (undo_reorder_axes if reverse else reorder_axes)(values, shape, arg)
+        elif kind == "pad":
+            values, shape = pad(values, shape, [(-a, -b) for a, b in arg] if reverse else arg)
+        else:
+            raise ValueError(f"unknown step: {kind}")
+    return values, shape
+
+
+def padded_origin(origin: Column, voxel: Sequence[float], by: Sequence[tuple[int, int]]) -> Column:
+    """The origin after padding: less the voxels put before it, on each axis."""
+    return F.array(*[F.get(origin, k) - F.lit(a * size) for k, (size, (a, _)) in enumerate(zip(voxel, by, strict=True))])
+
+
+def all_close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """Whether arrays have one size and all |a - b| <= absolute + relative |b|."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= absolute + relative * F.abs(y)), lambda x: x)
+
+
+def mask_channels(values: Column, mask: Column, channels: int) -> Column:
+    """Values of voxels (`channels` of them side by side) whose mask exceeds 0.5, zeros elsewhere."""
+    return F.transform(values, lambda v, i: F.when(F.get(mask, F.floor(i / channels).cast("int")) > 0.5, v).otherwise(0.0))
+
+
+def plane_of_orientation(iop: Column, least: float = 0.8) -> Column:
+    """SAG, COR or AX by the largest part of the unit normal of six direction cosines; null if it is below `least`."""
+    at = lambda k: F.get(iop, k)
+    normal = F.array(at(1) * at(5) - at(2) * at(4), at(2) * at(3) - at(0) * at(5), at(0) * at(4) - at(1) * at(3))
+
+    def named(n: Column) -> Column:
+        size = F.sqrt(F.get(n, 0) * F.get(n, 0) + F.get(n, 1) * F.get(n, 1) + F.get(n, 2) * F.get(n, 2))
+        part = F.transform(n, lambda x: F.abs(F.try_divide(x, size)))
+        return F.when(F.array_max(part) >= least, F.element_at(F.array(F.lit("SAG"), F.lit("COR"), F.lit("AX")), argmax(part) + 1))
+
+    return bind(normal, named)
+
+
 def levels(values: Column, count: int = 4) -> Column:
     return F.transform(values, lambda v: (F.floor(F.abs(v) * 10) % count).cast("int"))
 
@@ -158,18 +226,56 @@ def volume_expr(text: str, volumes: dict[str, Column]) -> Column:
     return bind(out, lambda held: F.when(bad(held), F.raise_error(F.lit(f"not finite: {text}"))).otherwise(held))
 
 
-def slab(values: Column, shape: Shape, width: int) -> Column:
-    """For each z the slices z - width // 2 and on, `width` of them, zeros beyond the ends: arrays of x, y, slice."""
-    flat = shape[0] * shape[1]
+def slab_at(values: Column, shape: Shape, width: int, z: Column) -> Column:
+    """The slices z - width // 2 and on, `width` of them, zeros beyond the ends: an array of x, y, slice."""
+
+    def at(i: Column) -> Column:
+        s = z - width // 2 + i % width
+        return F.when((s >= 0) & (s < shape[2]), F.get(values, (F.floor(i / width) * shape[2] + s).cast("int"))).otherwise(0.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(shape[0] * shape[1] * width - 1)), at)
+
+
+def reassemble(windows: Column, shape: Shape, width: int) -> Column:
+    """The volume from the slab of each z: of the slabs that hold a slice the one of greatest z is taken."""
+
+    def at(i: Column) -> Column:
+        s = i % shape[2]
+        center = F.least(s + width // 2, F.lit(shape[2] - 1))
+        return F.get(F.get(windows, center.cast("int")), (F.floor(i / shape[2]) * width + s - center + width // 2).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(shape[0] * shape[1] * shape[2] - 1)), at)
+
+
+def per_voxel(values: Column, channels: int, body: Callable[[Column], Column]) -> Column:
+    """body of the `channels` values of each voxel, that lie side by side."""
+    return F.transform(F.sequence(F.lit(0), (F.size(values) / channels - 1).cast("int")), lambda j: body(F.slice(values, j * channels + 1, channels)))
+
 
-    def window(z: Column) -> Column:
-        def at(i: Column) -> Column:
-            s = z - width // 2 + i % width
-            return F.when((s >= 0) & (s < shape[2]), F.get(values, (F.floor(i / width) * shape[2] + s).cast("int"))).otherwise(0.0)
+def fill_holes(masks: DataFrame, column: str, shape: Shape) -> DataFrame:
+    """The masks with zeros that no path of zeros (over faces) joins to the border set to 1; one numpy volume at a time."""
 
-        return F.transform(F.sequence(F.lit(0), F.lit(flat * width - 1)), at)
+    def filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for mask in batch[column].to_pylist():
+                inside = np.pad(np.array(mask).reshape(shape) > 0, 1)
+                outside = np.zeros(inside.shape, bool)
+                outside[[0, -1]], outside[:, [0, -1]], outside[:, :, [0, -1]] = True, True, True
+                before = -1
+                while (n := int(outside.sum())) != before:
+                    before = n
+                    for axis in range(3):
+                        moved = np.moveaxis(outside, axis, 0)
+                        moved[1:] |= moved[:-1]
+                        outside &= ~inside
+                        moved[:-1] |= moved[1:]
+                        outside &= ~inside
+                out.append((~outside)[1:-1, 1:-1, 1:-1].ravel().astype(np.int32))
+            columns = [pa.array(out, pa.list_(pa.int32())) if name == column else batch[name] for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(shape[2] - 1)), window)
+    return masks.withColumn(column, F.col(column).cast("array<int>")).mapInArrow(filled, masks.withColumn(column, F.col(column).cast("array<int>")).schema)
 
 
 def argmax(values: Column) -> Column:

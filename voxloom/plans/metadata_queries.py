@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.functions import headers as H
 from voxloom.operators import series as S
 from voxloom.plans.volume_queries import query
 
@@ -115,10 +116,10 @@ def name_tokens(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", S.name_tokens(F.col("p_name")).alias("tokens"))
 
 
-@query("SELECT event_id, concat(CAST(user_id AS VARCHAR), '_', regexp_replace(event_type, '[^A-Za-z0-9_]+', '_', 'g'), '_', substring(sha1(CAST(event_id AS VARCHAR)), 1, 6)) AS dirname FROM events")
+@query("SELECT event_id, concat(CAST(user_id AS VARCHAR), '_', regexp_replace(event_type || '-x y', '[^A-Za-z0-9_\\-]+', '_', 'g'), '_', substring(sha1(CAST(event_id AS VARCHAR)), 1, 6)) AS dirname FROM events")
 def series_dirname(spark, sf_dir):
-    safe = F.regexp_replace("event_type", r"(?U)[^\w]+", "_")
-    return _table(spark, sf_dir, "events").select("event_id", F.concat_ws("_", F.col("user_id").cast("string"), safe, F.substring(F.sha1(F.col("event_id").cast("string")), 1, 6)).alias("dirname"))
+    name = H.series_dirname(F.col("user_id"), F.concat("event_type", F.lit("-x y")), F.col("event_id").cast("string"))
+    return _table(spark, sf_dir, "events").select("event_id", name.alias("dirname"))
 
 
 @query("WITH t AS (SELECT user_id, coalesce(min(ts) FILTER (event_type = 'purchase'), min(ts) FILTER (event_type = 'signup')) AS t0 FROM events GROUP BY user_id) SELECT event_id, t0, coalesce(ts > t0, false) AS is_after FROM events JOIN t USING (user_id)")
@@ -151,10 +152,10 @@ def bvalue_json(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("b_value"))
 
 
-@query("WITH f AS (SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, url FROM pages) SELECT folder, min(url) FILTER (contains(url, '1')) AS one, min(url) FILTER (regexp_matches(url, '7[^/]?$')) AS seven FROM f GROUP BY folder HAVING count(*) FILTER (contains(url, '1')) = 1 AND count(*) FILTER (regexp_matches(url, '7[^/]?$')) = 1")
+@query("WITH f AS (SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, url FROM pages) SELECT folder, min(url) FILTER (contains(url, '1')) AS one, min(url) FILTER (url GLOB '*7') AS seven FROM f GROUP BY folder HAVING count(*) FILTER (contains(url, '1')) = 1 AND count(*) FILTER (url GLOB '*7') = 1")
 def pattern_exactly_one(spark, sf_dir):
     files = _table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^(.*)/[^/]*$", 1).alias("folder"), "url")
-    return files.groupBy("folder").agg(F.count_if(F.col("url").contains("1")).alias("a"), F.count_if(F.col("url").rlike("7[^/]?$")).alias("b"), F.min(F.when(F.col("url").contains("1"), F.col("url"))).alias("one"), F.min(F.when(F.col("url").rlike("7[^/]?$"), F.col("url"))).alias("seven")).where("a = 1 and b = 1").select("folder", "one", "seven")
+    return S.exactly_one(files, "folder", "url", {"one": "1", "seven": "*7"})
 
 
 @query("SELECT page_id, url GLOB '*/*[0-4]' AS globbed, contains(url, 'page') AS contained FROM pages")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators import volumes as V
@@ -133,22 +133,26 @@ def resample_nearest(spark, sf_dir):
 
 @query(_VOX + "SELECT vec_id, " + ", ".join(f"CAST(2 - (min({a}) + max({a})) // 2 AS BIGINT) AS shift_{a}" for a in "xyz") + " FROM vox WHERE m GROUP BY vec_id")
 def roi_center_shift(spark, sf_dir):
-    rows = voxels(volumes(spark, sf_dir), "vec_id", F.col("mask"), "m").where("m > 0")
-    axes = {"x": F.floor(F.col("i") / 16), "y": F.floor(F.col("i") / 4) % 4, "z": F.col("i") % 4}
-    return rows.groupBy("vec_id").agg(*[(2 - F.floor((F.min(a) + F.max(a)) / 2)).alias(f"shift_{n}") for n, a in axes.items()])
+    inside = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("mask", i) > 0)
+    axes = {"x": lambda i: F.floor(i / 16), "y": lambda i: F.floor(i / 4) % 4, "z": lambda i: i % 4}
+    middle = lambda a: F.floor((F.array_min(a) + F.array_max(a)) / 2)
+    rows = volumes(spark, sf_dir).withColumn("p", inside).where(F.size("p") > 0)
+    return rows.select("vec_id", *[(2 - middle(F.transform("p", f))).cast("long").alias(f"shift_{n}") for n, f in axes.items()])
 
 
 @query(_VOX + ", g AS (SELECT vec_id, CAST(unnest(range(0, 4)) AS INT) AS z FROM embeddings), h AS (SELECT *, CAST(unnest(range(0, 64)) AS INT) AS i FROM g) SELECT h.vec_id, h.z, h.i, coalesce(v, 0) AS v FROM h LEFT JOIN vox ON vox.vec_id = h.vec_id AND vox.x * 4 + vox.y = h.i // 4 AND vox.z = h.z - 2 + h.i % 4")
 def windows_25d(spark, sf_dir):
-    wide = volumes(spark, sf_dir).select("vec_id", F.posexplode(V.slab(F.col("v"), SHAPE, 4)).alias("z", "w"))
-    return wide.select("vec_id", "z", F.posexplode("w").alias("i", "v"))
+    slices = volumes(spark, sf_dir).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(SHAPE[2] - 1))).alias("z"))
+    return slices.select("vec_id", "z", F.posexplode(V.slab_at(F.col("v"), SHAPE, 4, F.col("z"))).alias("i", "v"))
 
 
 @query(_VOX + "SELECT vec_id, z, list_sort(list(DISTINCT lab)) = [0, 1, 2, 3] AS has_all, bool_or(lab = 3) AS has_three, count(*) FILTER (m AND lab > 0) AS n FROM vox GROUP BY vec_id, z HAVING bool_or(m)")
 def require_classes(spark, sf_dir):
-    rows = volumes(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip("mask", "lab")).alias("i", "p")).select("vec_id", (F.col("i") % 4).alias("z"), "p.*")
-    out = rows.groupBy("vec_id", "z").agg(F.collect_set("lab").alias("s"), F.max("mask").alias("any"), F.count_if((F.col("mask") > 0) & (F.col("lab") > 0)).alias("n"))
-    return out.where("any > 0").select("vec_id", "z", F.forall(F.array(*map(F.lit, range(4))), lambda c: F.array_contains("s", c)).alias("has_all"), F.array_contains("s", 3).alias("has_three"), "n")
+    slices = volumes(spark, sf_dir).select("vec_id", "mask", "lab", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"))
+    of = lambda c: F.filter(c, lambda _, i: i % 4 == F.col("z"))
+    slices = slices.select("vec_id", "z", of("lab").alias("lab"), of("mask").alias("mask")).where(F.array_max("mask") > 0)
+    both = F.size(F.filter(F.zip_with("lab", "mask", lambda a, m: (a > 0) & (m > 0)), lambda x: x)).cast("long")
+    return slices.select("vec_id", "z", F.forall(F.array(*map(F.lit, range(4))), lambda c: F.array_contains("lab", c)).alias("has_all"), F.array_contains("lab", 3).alias("has_three"), both.alias("n"))
 
 
 _VOTES = ", t AS (SELECT subject, i, lab, count(*) AS n, max(count(*)) OVER (PARTITION BY subject, i) AS best, max(max(lab) FILTER (k = 1)) OVER (PARTITION BY subject, i) AS second FROM (SELECT vec_id // 3 AS subject, CAST(vec_id % 3 AS INT) AS k, i, lab, count(*) OVER (PARTITION BY vec_id // 3, i) AS c FROM vox) WHERE c = 3 GROUP BY subject, i, lab) SELECT subject, i, CAST(CASE WHEN count(*) = 1 THEN max(lab) ELSE {tie} END AS INT) AS label FROM t WHERE n = best GROUP BY subject, i"
@@ -168,9 +172,8 @@ _PROB = _VOX + ", s AS (SELECT vec_id // 3 AS subject, i // 4 AS voxel, i % 4 AS
 
 
 def _by_class(spark, sf_dir, join):
-    merged = subjects(spark, sf_dir, 3).select("subject", F.posexplode(join).alias("i", "p"))
-    fours = merged.groupBy("subject", F.floor(F.col("i") / 4).cast("int").alias("voxel")).agg(F.array_sort(F.collect_list(F.struct("i", F.round("p", 6).alias("p")))).alias("a"))
-    return fours.select("subject", "voxel", V.argmax(F.transform("a", lambda s: s["p"])).alias("label"))
+    label = V.per_voxel(join, 4, lambda p: V.argmax(F.transform(p, lambda x: F.round(x, 6))))
+    return subjects(spark, sf_dir, 3).select("subject", F.posexplode(label).alias("voxel", "label"))
 
 
 @query(_PROB.format(agg="sum(v)"))
@@ -183,12 +186,14 @@ def max_prob(spark, sf_dir):
     return _by_class(spark, sf_dir, F.zip_with(F.zip_with("v0", "v1", lambda a, b: F.greatest(a, b)), "v2", lambda a, b: F.greatest(a, b)))
 
 
-@query(_VOX + ", c AS (SELECT lab, count(*) AS n FROM vox WHERE m GROUP BY lab) SELECT lab AS class, n, round(least(greatest((SELECT sum(n) FROM c) / n, 0), 1000), 6) AS weight FROM c")
+@query(_VOX + ", c AS (SELECT CAST(r.k AS INT) AS class, count(lab) AS n FROM range(0, 6) r(k) LEFT JOIN vox ON lab = r.k AND m GROUP BY r.k) SELECT class, n, CASE WHEN n = 0 THEN 1.0 ELSE round(least(greatest((SELECT sum(n) FROM c) / n, 0), 1000), 6) END AS weight FROM c")
 def class_weights(spark, sf_dir):
     rows = volumes(spark, sf_dir).select(F.explode(F.arrays_zip("mask", "lab")).alias("p")).select("p.*").where("mask > 0")
     counts = rows.groupBy(F.col("lab").alias("class")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    return counts.join(F.broadcast(total)).select("class", "n", F.round(F.least(F.col("total") / F.col("n"), F.lit(1000.0)), 6).alias("weight"))
+    all_ = spark.range(6).select(F.col("id").cast("int").alias("class")).join(counts, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # over one row a class
+    weight = F.when(F.col("n") == 0, 1.0).otherwise(F.round(F.least(total / F.col("n"), F.lit(1000.0)), 6))
+    return all_.select("class", "n", weight.alias("weight"))
 
 
 _PAIRS = _VOX + ", p AS (SELECT a.lab AS gt, b.lab AS pred FROM vox a JOIN vox b ON a.i = b.i AND a.vec_id // 2 = b.vec_id // 2 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 WHERE a.m) "
@@ -203,16 +208,109 @@ def confusion_counts(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy("gt", "pred").agg(F.count("*").alias("n"))
 
 
-@query(_PAIRS + "SELECT CAST(c AS INT) AS class, round(coalesce(count(*) FILTER (gt = c AND pred = c) / nullif(count(*) FILTER (pred = c), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (gt = c AND pred = c) / nullif(count(*) FILTER (gt = c), 0), 0), 6) AS recall FROM p, range(0, 4) r(c) GROUP BY c")
+@query(_PAIRS + "SELECT CAST(c AS INT) AS class, round(coalesce(count(*) FILTER (gt = c AND pred = c) / nullif(count(*) FILTER (pred = c), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (gt = c AND pred = c) / nullif(count(*) FILTER (gt = c), 0), 0), 6) AS recall, round(count(*) FILTER ((gt = c) = (pred = c)) / count(*), 6) AS accuracy FROM p, range(0, 6) r(c) GROUP BY c")
 def precision_recall(spark, sf_dir):
     counts = _pairs(spark, sf_dir).groupBy("gt", "pred").agg(F.count("*").alias("n"))
-    of = counts.withColumn("class", F.explode(F.array_distinct(F.array("gt", "pred"))))
-    hit = F.sum(F.when((F.col("gt") == F.col("class")) & (F.col("pred") == F.col("class")), F.col("n")).otherwise(0))
-    part = lambda c: F.coalesce(F.try_divide(hit, F.sum(F.when(F.col(c) == F.col("class"), F.col("n")).otherwise(0))), F.lit(0.0))
-    return of.groupBy("class").agg(F.round(part("pred"), 6).alias("precision"), F.round(part("gt"), 6).alias("recall"))
+    of = counts.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    gt, pred = F.col("gt") == F.col("class"), F.col("pred") == F.col("class")
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    part = lambda c: F.round(F.coalesce(F.try_divide(n(gt & pred), n(c)), F.lit(0.0)), 6)
+    return of.groupBy("class").agg(part(pred).alias("precision"), part(gt).alias("recall"), F.round(n(gt == pred) / F.sum("n"), 6).alias("accuracy"))
 
 
 @query(_VOX + "SELECT vec_id, i, CAST(unnest(range(0, 4)) AS INT) AS class, CAST(unnest(range(0, 4)) = lab AS INT) AS hot FROM vox")
 def one_hot(spark, sf_dir):
     rows = voxels(volumes(spark, sf_dir), "vec_id", F.col("lab"), "lab")
     return rows.select("vec_id", "i", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: (c == F.col("lab")).cast("int"))).alias("class", "hot"))
+
+
+@query(_VOX + "SELECT vec_id, CAST(z * 16 + x * 4 + y AS INT) AS i, v FROM vox")
+def undo_reorder(spark, sf_dir):
+    return voxels(volumes(spark, sf_dir), "vec_id", V.undo_reorder_axes(F.col("v"), SHAPE, "sagittal")[0], "v")
+
+
+_GRID = ", g AS (SELECT vec_id, CAST(unnest(range(0, {n})) AS INT) AS i FROM embeddings) "
+
+
+@query(_VOX + ", g AS (SELECT DISTINCT vec_id FROM embeddings), h AS (SELECT vec_id, CAST(unnest(range(0, 343)) AS INT) AS i FROM g), j AS (SELECT *, (i // 49) * 0.5 AS a, ((i // 7) % 7) * 0.5 AS b, (i % 7) * 0.5 AS c FROM h) SELECT j.vec_id, j.i, round(sum(v * (1 - abs(x - a)) * (1 - abs(y - b)) * (1 - abs(z - c))), 6) + 0.0 AS v FROM j JOIN vox ON vox.vec_id = j.vec_id AND abs(x - a) < 1 AND abs(y - b) < 1 AND abs(z - c) < 1 GROUP BY j.vec_id, j.i")
+def resample_linear(spark, sf_dir):
+    return voxels(volumes(spark, sf_dir), "vec_id", V.resample_linear(F.col("v"), SHAPE, (7, 7, 7)), "v", 6)
+
+
+STEPS = [("flip", (0,)), ("pad", ((1, 0), (0, 1), (0, 0))), ("reorder", "coronal")]
+
+
+@query(_VOX + _GRID.format(n=100) + "SELECT g.vec_id, g.i, coalesce(v, 0) AS v FROM g LEFT JOIN vox ON vox.vec_id = g.vec_id AND x = 4 - g.i // 20 AND z = (g.i // 5) % 4 AND y = g.i % 5")
+def transform_pipeline(spark, sf_dir):
+    return voxels(volumes(spark, sf_dir), "vec_id", V.apply_steps(F.col("v"), SHAPE, STEPS)[0], "v")
+
+
+@query(_VOX + "SELECT vec_id, i, v FROM vox")
+def transform_pipeline_reversed(spark, sf_dir):
+    moved, shape = V.apply_steps(F.col("v"), SHAPE, STEPS)
+    return voxels(volumes(spark, sf_dir), "vec_id", V.apply_steps(moved, shape, STEPS, reverse=True)[0], "v")
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) - 0.5, 6) AS x, round(CAST(embedding[2] AS DOUBLE) + 2, 6) AS y, round(CAST(embedding[3] AS DOUBLE), 6) + 0.0 AS z FROM embeddings")
+def padded_origin(spark, sf_dir):
+    moved = V.padded_origin(F.slice("v", 1, 3), (0.5, 1.0, 3.0), ((1, 0), (-2, 1), (0, 4)))
+    return volumes(spark, sf_dir).select("vec_id", *[(F.round(F.get(moved, k), 6) + 0.0).alias(n) for k, n in enumerate("xyz")])
+
+
+@query(_VOX + "SELECT vec_id, bool_and(abs(v - round(v, 6)) <= 1e-8 + 1e-5 * abs(round(v, 6))) AS close FROM vox WHERE i < 4 GROUP BY vec_id")
+def shape_check(spark, sf_dir):
+    affine = F.slice("v", 1, 4)
+    return volumes(spark, sf_dir).select("vec_id", V.all_close(affine, F.transform(affine, lambda x: F.round(x, 6))).alias("close"))
+
+
+@query(_VOX + "SELECT a.vec_id, a.i, CASE WHEN b.v > 0.05 THEN a.v ELSE 0 END AS v FROM vox a JOIN vox b ON a.vec_id = b.vec_id AND b.i = a.i // 4")
+def mask_channels(spark, sf_dir):
+    mask = F.transform(F.slice("v", 1, 16), lambda x: (x > 0.05).cast("double"))
+    return voxels(volumes(spark, sf_dir), "vec_id", V.mask_channels(F.col("v"), mask, 4), "v")
+
+
+@query(_VOX + "SELECT DISTINCT vec_id, z FROM vox WHERE m AND lab > 1")
+def relevant_slices(spark, sf_dir):
+    good = F.zip_with("mask", "lab", lambda m, c: (m > 0) & (c > 1))
+    slices = F.array_distinct(F.filter(F.transform(good, lambda g, i: F.when(g, i % SHAPE[2])), lambda z: z.isNotNull()))
+    return volumes(spark, sf_dir).select("vec_id", F.explode(slices).alias("z"))
+
+
+@query(_VOX + ", f AS (SELECT vec_id, z, CASE WHEN bool_or(lab = 3) THEN 3 WHEN bool_or(lab = 1) AND bool_or(lab = 2) THEN 2 ELSE 0 END AS factor FROM vox GROUP BY vec_id, z) SELECT vec_id, z, CAST(unnest(range(0, factor + 1)) AS INT) AS copy FROM f")
+def augment_factor(spark, sf_dir):
+    slices = volumes(spark, sf_dir).select("vec_id", "lab", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"))
+    present = F.filter("lab", lambda _, i: i % 4 == F.col("z"))
+    factor = F.lit(0)
+    for classes, k in reversed([((3,), 3), ((1, 2), 2)]):  # the first entry whose classes are all there decides
+        factor = F.when(F.forall(F.array(*map(F.lit, classes)), lambda c: F.array_contains(present, c)), k).otherwise(factor)
+    return slices.select("vec_id", "z", F.explode(F.sequence(F.lit(0), factor)).alias("copy"))
+
+
+@query(_VOX + "SELECT vec_id, i, v + least(z + 1, 3) AS v FROM vox")
+def reassemble(spark, sf_dir):
+    predicted = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.transform(V.slab_at(F.col("v"), SHAPE, 3, z), lambda v: v + z))
+    return voxels(volumes(spark, sf_dir), "vec_id", V.reassemble(predicted, SHAPE, 3), "v")
+
+
+_RING = "CASE WHEN (x IN (0, 3) OR y IN (0, 3) OR z IN (0, 3)) THEN v > -0.12 ELSE v > 0.12 END"
+
+
+@query(
+    f"WITH RECURSIVE {_VOX.strip()[5:]}, r AS (SELECT vec_id, x, y, z, {_RING} AS inside FROM vox), f AS (SELECT vec_id, x, y, z FROM r WHERE NOT inside AND (x IN (0, 3) OR y IN (0, 3) OR z IN (0, 3)) "
+    "UNION SELECT r.vec_id, r.x, r.y, r.z FROM f JOIN r ON r.vec_id = f.vec_id AND NOT r.inside AND abs(r.x - f.x) + abs(r.y - f.y) + abs(r.z - f.z) = 1) "
+    "SELECT r.vec_id, CAST(r.x * 16 + r.y * 4 + r.z AS INT) AS i, CAST(f.x IS NULL AS INT) AS filled FROM r LEFT JOIN f ON f.vec_id = r.vec_id AND f.x = r.x AND f.y = r.y AND f.z = r.z"
+)
+def fill_holes(spark, sf_dir):
+    edge = lambda i: (F.floor(i / 16).isin(0, 3)) | ((F.floor(i / 4) % 4).isin(0, 3)) | ((i % 4).isin(0, 3))
+    ring = F.transform("v", lambda v, i: F.when(edge(i), v > -0.12).otherwise(v > 0.12).cast("int"))
+    masks = volumes(spark, sf_dir).select("vec_id", ring.alias("mask"))
+    return voxels(V.fill_holes(masks, "mask", SHAPE), "vec_id", F.col("mask"), "filled")
+
+
+@query(
+    "WITH e AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS o FROM embeddings), n AS (SELECT vec_id, o[2] * o[6] - o[3] * o[5] AS a, o[3] * o[4] - o[1] * o[6] AS b, o[1] * o[5] - o[2] * o[4] AS c FROM e), "
+    "u AS (SELECT vec_id, abs(a) / sqrt(a * a + b * b + c * c) AS a, abs(b) / sqrt(a * a + b * b + c * c) AS b, abs(c) / sqrt(a * a + b * b + c * c) AS c FROM n) "
+    "SELECT vec_id, CASE WHEN greatest(a, b, c) < 0.8 THEN NULL WHEN a >= b AND a >= c THEN 'SAG' WHEN b >= c THEN 'COR' ELSE 'AX' END AS plane FROM u"
+)
+def plane_of_orientation(spark, sf_dir):
+    return volumes(spark, sf_dir).select("vec_id", V.plane_of_orientation(F.slice("v", 1, 6)).alias("plane"))
