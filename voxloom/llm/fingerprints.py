@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import STEP, U64, fan_out, mix, range_bounds, range_index, shingles, slices, small_batches, text_list
+from voxloom.llm.common import STEP, U64, mix, pieces_by_size, range_bounds, range_index, shingles, slices, small_batches, text_list
 
 
 @dataclass(frozen=True)
@@ -100,15 +100,14 @@ def fingerprint_with_edit(docs: DataFrame, sketcher: Sketcher = Sketcher()) -> D
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = fan_out(spark)
-    bounds = range_bounds(docs.select("key"), "key", pieces)
+    bounds = range_bounds(docs.select("key"), "key", pieces_by_size(docs, "text"))
     n = max(1, len(bounds))
     heads = F.array(*[F.lit(x).cast("bigint") for x in bounds or [0]])
     spot = lambda piece, guest: F.struct(piece.cast("int").alias("piece"), F.lit(guest).alias("guest"))
     own = docs.withColumn("piece", range_index(F.col("key"), bounds))
     before = F.pmod(F.col("piece") - 1, F.lit(n))
     dealt = own.withColumn("to", F.explode(F.when(F.col("key") == F.element_at(heads, F.col("piece") + 1), F.array(spot(F.col("piece"), False), spot(before, True))).otherwise(F.array(spot(F.col("piece"), False)))))
-    ordered = dealt.select("to.piece", "to.guest", "key", "doc_id", "text").repartition(n, "piece").sortWithinPartitions("piece", "guest", "key", "text")
+    ordered = dealt.select("to.piece", "to.guest", "key", "doc_id", "text").repartitionById(n, F.col("piece")).sortWithinPartitions("piece", "guest", "key", "text")
     return ordered.mapInArrow(lambda batches: _stream(batches, sketcher), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
