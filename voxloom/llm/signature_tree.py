@@ -102,10 +102,10 @@ def classes_of(docs: DataFrame, keyed: DataFrame) -> DataFrame:
             yield pa.record_batch([batch["doc_id"].cast(pa.int64()), batch["text_key"].cast(pa.binary()), pa.array([press.compress((x or "").encode()) for x in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "text_key", "packed"])
 
     texts = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(pack, "doc_id long, text_key binary, packed binary")
-    found = texts.join(chosen, ["doc_id", "text_key"]).select("set_key", F.col("n_shingles").alias("size"), "packed")
+    found = texts.hint("merge").join(chosen, ["doc_id", "text_key"]).select("set_key", F.col("n_shingles").alias("size"), "packed")
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows repeated in full follow one another here: one of each."""
+        """Rows repeated in full follow one another here, unless their partition was split: one of each."""
         seen = None
         for batch in batches:
             keys = batch["set_key"].to_pylist()
@@ -283,7 +283,8 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
     more = materialize(_join_groups(small.unionByName(large), sets, pieces, width), "links")
     final = components(edges.union(more))
 
-    return keyed.join(_labels(sets.select("node", "set_key"), final).select("set_key", "component"), "set_key", "left")
+    named = _labels(sets.select("node", "set_key"), final).groupBy("set_key").agg(F.min("component").alias("component"))
+    return keyed.join(named, "set_key", "left")
 
 
 def _share(n: str) -> Column:
