@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of docs with score (0 to 1) as its last column, in place of any column of that name.
 
-    A text without words, empty or null scores by the bias alone. The sparse weights travel with the task.
+    A text without words, empty or null scores 0, for there is nothing toxic in it. The sparse weights travel with the task.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("score")
@@ -135,19 +135,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             data, offsets = text_buffers(batch["text"])
             out = [np.zeros(0)]
             for lo, hi in slices(offsets):
-                out.append(_sigmoid(_sums(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], model.bits, weights) + model.bias))
+                total, some = _sums(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], model.bits, weights)
+                out.append(np.where(some, _sigmoid(total + model.bias), 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(scored, schema)
 
 
-def _sums(data: np.ndarray, offsets: np.ndarray, bits: int, weights: np.ndarray) -> np.ndarray:
-    """Sum of weights over each row's distinct features; features without weight drop out before they are compared."""
+def _sums(data: np.ndarray, offsets: np.ndarray, bits: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of weights over each row's distinct features, and whether it has any; features without weight drop out before they are compared."""
     ids, at = features(data, offsets, bits)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     some = weights[ids] != 0
     key = np.unique(row[some] << bits | ids[some])
-    return np.bincount(key >> bits, weights[key & (1 << bits) - 1], len(offsets) - 1)
+    return np.bincount(key >> bits, weights[key & (1 << bits) - 1], len(offsets) - 1), np.diff(at) > 0
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
