@@ -1,7 +1,7 @@
 """The corpus pipeline: toxic documents go, one of each near-duplicate group stays, repeats and secrets are cut out, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and rereads it for the next.
-Stages but the last return the columns of documents. Rows with a null text pass through all of them;
+Stages but the last return the columns of documents. Rows with a null or empty text pass through all of them;
 a null doc_id is like any other, and counts as the least.
 """
 
@@ -15,7 +15,7 @@ from voxloom.llm.common import documents, materialize
 from voxloom.llm.queries import WORD_TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: No SQL: learned scores, byte-level repeats and packing are beyond it; tests hold run() against brute force.
+#: No SQL: learned scores, byte-level repeats and packing are beyond it; tests hold run() against plain Python on a small table.
 ORACLE_SQL = None
 
 
