@@ -113,9 +113,22 @@ def test_resolve_pairs_equal_strings_of_one_anchor():
             assert len(set(group.tolist())) == len(times)
 
 
-@pytest.mark.parametrize("shard", [3, 12_000])
-def test_suffix_dedup_of_passages_that_occur_twice(spark, monkeypatch, shard):
+def test_frequent_values_are_counted_within_their_bound(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = [np.concatenate([rng.integers(0, 1 << 40, 30_000), np.full(k, 7), np.full(900, 9)]) for k in (2000, 1, 0, 5000)] * 5
+    monkeypatch.setattr(suffix_dedup, "COUNTERS", 500)
+    values, counts, total = suffix_dedup.frequent(iter(parts))
+    true = Counter(np.concatenate(parts).tolist())
+    assert total == sum(true.values()) and len(values) <= 500
+    assert all(true[v] - total / 500 <= c <= true[v] for v, c in zip(values.tolist(), counts.tolist(), strict=True))
+    assert {7, 9} <= set(values.tolist())
+    assert suffix_dedup.frequent(iter([]))[2] == 0
+
+
+@pytest.mark.parametrize(("shard", "frequent"), [(3, 1), (3, 2000), (12_000, 2000)])
+def test_suffix_dedup_of_passages_that_occur_twice(spark, monkeypatch, shard, frequent):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
     rows = []

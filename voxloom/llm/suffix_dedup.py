@@ -8,6 +8,9 @@ words by Larsson-Sadakane refinement in numpy and the common prefixes by Kasai's
 strings with the anchor at distance d from their start are equal if their right parts agree on length - d bytes and
 their left parts on d, which the prefixes tell for all d. A hot anchor is split over shards; strings without a partner
 in their own shard are then looked up in the sorted strings of all of that anchor's shards by binary search.
+
+Anchors with a thousandth or more of all occurrences are found beforehand (a frequency summary of fixed size a task, at
+most 2,000 of them in all), so that the count of occurrences is dealt over many tasks for each of these too.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
 #: Occurrences of an anchor that stay in one shard, and contexts a shard holds on average.
 HOT, SHARD = 2048, 12_000
+#: Counters of a task's frequency summary; an anchor is dealt over many tasks from one occurrence in FREQUENT of all on.
+COUNTERS, FREQUENT = 4096, 2000
 _PLACE = U64((1 << 24) - 1)
 
 
@@ -241,6 +246,32 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(*(c[n][hit] for n in ("text_key", "start", "stop", "one", "two", "state")))
 
 
+def frequent(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Values, their counts and the number of all values, in fixed memory: a count is short by at most all / COUNTERS.
+
+    Whenever there are more than COUNTERS values, the next greatest count is taken off all of them (Misra and Gries).
+    """
+    values, counts, total, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, [], 0
+
+    def fold() -> None:
+        nonlocal values, counts, held, size
+        new, place = np.unique(np.concatenate([values, *held]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, np.ones(size, np.int64)]), len(new)).astype(np.int64)
+        values, held, size = new, [], 0
+        if len(values) > COUNTERS:
+            counts = counts - np.partition(counts, -COUNTERS - 1)[-COUNTERS - 1]
+            values, counts = values[counts > 0], counts[counts > 0]
+
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        total += len(part)
+        if size > 1 << 18:
+            fold()
+    fold()
+    return values, counts, total
+
+
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs with text_key, table of text_key, copies and spans): spans are covered runs of bytes, sorted, not yet joined.
 
@@ -251,19 +282,33 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.withColumn("text", text).withColumn("text_key", text_key(text))
 
-    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         seen: set[bytes] = set()  # a task's copies of a text have the same anchors: one of them tells
         for batch in batches:
             keys = batch["text_key"].to_pylist()
             batch = batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
-            row, h, at, distances = anchors(*text_buffers(batch["text"]))
-            yield pa.record_batch([pa.array(h.view(np.int64)), batch["text_key"].cast(pa.binary()).take(pa.array(row)), pa.array(at << 16 | distances)], names=["anchor", "text_key", "packed"])
+            yield batch["text_key"], *anchors(*text_buffers(batch["text"]))
 
-    same = Window.partitionBy("anchor")
-    met = docs.select("text_key", "text").mapInArrow(find, "anchor long, text_key binary, packed long")
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, h, at, distances in found_in(batches):
+            yield pa.record_batch([pa.array(h.view(np.int64)), keys.cast(pa.binary()).take(pa.array(row)), pa.array(at << 16 | distances)], names=["anchor", "text_key", "packed"])
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts, total = frequent(found[2].view(np.int64) for found in found_in(batches))
+        yield pa.record_batch([pa.array([*values.tolist(), None], pa.int64()), pa.array([*counts.tolist(), total], pa.int64())], names=["anchor", "n"])
+
+    plain = docs.select("text_key", "text")
+    tallied = materialize(plain.mapInArrow(tally, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "frequent")
+    total = max(1, tallied.where("anchor is null").agg(F.sum("n")).head()[0] or 0)
+    often = tallied.where("anchor is not null").where(F.col("n") * FREQUENT >= total).collect()  # at most FREQUENT rows
+    often = spark.createDataFrame([(r["anchor"], r["n"]) for r in often], "anchor long, often long")
+
+    met = plain.mapInArrow(find, "anchor long, text_key binary, packed long").join(F.broadcast(often), "anchor", "left")
+    met = met.withColumn("share", F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("text_key", "packed"), F.ceil(F.col("often") * FREQUENT / total))).otherwise(0))
+    same = Window.partitionBy("anchor", "share")
     for c, k in (("text_key", "t"), ("packed", "p")):
         met = met.withColumn(f"lo_{k}", F.min(c).over(same)).withColumn(f"hi_{k}", F.max(c).over(same))
-    met = met.withColumn("n", F.count("*").over(same)).where("lo_t < hi_t or lo_p < hi_p").select("anchor", "text_key", "packed", "n").distinct()
+    met = met.withColumn("n", F.coalesce("often", F.count("*").over(same))).where("often is not null or lo_t < hi_t or lo_p < hi_p").select("anchor", "text_key", "packed", "n").distinct()
     met = materialize(met, "anchors")
     shards = max(1, -(-met.count() // SHARD))
     texts = docs.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("chosen"))
