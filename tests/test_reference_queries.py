@@ -1,8 +1,8 @@
 import oracle
 import pytest
 
-from voxloom.operators import volumes
-from voxloom.plans import catalog_queries, metadata_queries  # noqa: F401
+from voxloom.operators import geometry, volumes
+from voxloom.plans import catalog_queries, geometry_queries, metadata_queries  # noqa: F401
 from voxloom.plans.volume_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,32 @@ def test_cascade_labels_by_hand(spark):
         36: ("T1c", True, False, 0.8), 37: ("T1n", False, False, 0.85), 38: ("T1c", True, False, 0.85), 39: ("Unknown-derived", False, True, 0.3), 41: ("Unknown", False, False, 0.3), 44: ("T1n", False, False, 0.7),
     }
     assert {i: got[i] for i in want} == want
+
+
+def test_classes_of_an_empty_slice_and_unknown_modes(spark):
+    from pyspark.sql import functions as F
+
+    none = F.array().cast("array<int>")
+    rules = [{(): "all"}, {(): "any"}, {(): "none"}, {(1,): "all"}, {(1,): "any"}, {(1,): "none"}, {}]
+    assert list(spark.range(1).select(*[geometry.passes_classes(none, r) for r in rules]).first()) == [True, False, True, False, False, True, True]
+    with pytest.raises(ValueError):
+        geometry.passes_classes(none, {(1,): "some"})
+
+
+def test_slices_are_not_cut_away_whole(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(list(map(float, range(5))),)], "v array<double>")
+    cut = lambda p: geometry.undo_pad_slices(F.col("v"), (1, 1, 5), p)
+    assert [(df.select(cut(p)[0]).first()[0], cut(p)[1]) for p in (0, 1, 9)] == [([0.0, 1.0, 2.0, 3.0, 4.0], (1, 1, 5)), ([1.0, 2.0, 3.0], (1, 1, 3)), ([1.0, 2.0, 3.0], (1, 1, 3))]
+
+
+def test_shape_and_record_of_an_aligned_volume(spark):
+    from pyspark.sql import functions as F
+
+    for plane in volumes.PLANES:
+        aligned, shape, steps = geometry.align(F.col("v"), (2, 3, 4), plane, (3, 3), 1)
+        assert shape == geometry.input_shape((2, 3, 4), plane, (3, 3), 1)
+        df = spark.createDataFrame([(list(map(float, range(24))),), (None,)], "v array<double>")
+        back = volumes.apply_steps(aligned, shape, geometry.from_record(geometry.to_record(steps)), reverse=True)[0]
+        assert [r[0] for r in df.select(back).collect()] == [list(map(float, range(24))), None]

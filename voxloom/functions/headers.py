@@ -81,6 +81,18 @@ def vendor_hints(tags: Column) -> dict[str, Column]:
     return out | {"pulse_sequence_name": F.coalesce(blank_to_null(get("PulseSequenceName")), get("SequenceName")), "b_value": b_value(tags)}
 
 
+def median_of(values: Column, most: int) -> Column:
+    """Median of the first `most` values that are not null; null without any."""
+    held = F.array_sort(F.slice(F.filter(values, lambda x: x.isNotNull()), 1, most))
+    n = F.size(held)
+    return F.when(n > 0, (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2)
+
+
+def pixel_spacing(own: Column, shared: Column, frames: Column, detector: Column, files: Column) -> Column:
+    """The file's own spacing, else that shared by its frames, else the median of its first 100 frames, else the detector's, else the median of 50 files."""
+    return F.coalesce(own, shared, median_of(frames, 100), detector, median_of(files, 50))
+
+
 def matrix(columns: Column, rows: Column) -> Column:
     mark = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     return F.concat(mark(columns), F.lit("x"), mark(rows))

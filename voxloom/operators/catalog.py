@@ -28,6 +28,20 @@ def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     return ranked(df, key, "_r").withColumn("batch", F.floor(F.col("_r") / size)).drop("_r")
 
 
+def _drawn(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df with `place`: its place from 0 in an order drawn by the seed, the same in every run; the key must be unique."""
+    return ranked(df.withColumn("_m", F.conv(F.substring(_drawn(key, seed), 1, 12), 16, 10).cast("long")), "_m", "place").drop("_m")
+
+
+def sampled(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows without replacement, drawn by the seed, the same in every run; the key must be unique."""
+    return df.orderBy(_drawn(key, seed), key).limit(n)
+
+
 def zipped(left: DataFrame, left_key: str, right: DataFrame, right_key: str, strict: bool = True) -> DataFrame:
     """Row k of one list beside row k of the other; `strict` refuses lists of unequal length, else the longer is cut."""
     if strict and left.count() != right.count():
