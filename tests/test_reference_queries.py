@@ -24,6 +24,31 @@ def test_greedy_takes_each_leaf_and_key_once(spark):
     assert not got.duplicated(["l_orderkey", "l_returnflag"]).any()
 
 
+def test_greedy_choice_and_moves_by_hand(spark):
+    rows = QUERIES["demix_keys"](spark, SF).toPandas()
+    want, targets = set(), {}
+    for order, some in rows.groupby("l_orderkey"):
+        ranked = sorted(zip(-some["n"], some["l_linenumber"], some["l_returnflag"], strict=True))
+        taken_leaves, taken_keys = set(), set()
+        for n, leaf, key in ranked:
+            if leaf not in taken_leaves and key not in taken_keys:
+                taken_leaves.add(leaf)
+                taken_keys.add(key)
+                want.add((order, leaf, key, -n))
+        whole = {leaf: key for leaf, own in some.groupby("l_linenumber") for key in own["l_returnflag"] if len(own) == 1 and (own["n"] == own["total"]).all()}
+        leaves, keys = set(whole), set(whole.values())
+        targets |= {(order, key): leaf for leaf, key in whole.items()}
+        for _, leaf, key in ranked:
+            if leaf not in leaves and key not in keys:
+                leaves.add(leaf)
+                keys.add(key)
+                targets[order, key] = leaf
+    assert {tuple(r) for r in QUERIES["demix_greedy"](spark, SF).select("l_orderkey", "l_linenumber", "l_returnflag", "n").collect()} == want
+    got = QUERIES["demix_moves"](spark, SF).collect()
+    assert len(got) == len(rows)
+    assert all(r["target"] == targets.get((r["l_orderkey"], r["l_returnflag"])) for r in got)
+
+
 def test_expressions_are_whitelisted(spark):
     from pyspark.sql import functions as F
 

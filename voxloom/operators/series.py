@@ -237,3 +237,14 @@ def demix_greedy(counts: DataFrame, parent: str, leaf: str, key: str) -> DataFra
 
     narrow = counts.select(parent, leaf, key, "n")
     return narrow.groupBy(parent).applyInPandas(take, narrow.schema)
+
+
+def demix_moves(counts: DataFrame, parent: str, leaf: str, key: str) -> DataFrame:
+    """parent, leaf, key, n and target: the leaf that is to hold all files of the key, null where a new one is needed.
+
+    A leaf of one key that holds all of it keeps it; other keys and leaves are matched greedily.
+    """
+    pure = counts.where("leaf_keys = 1 and n = total").select(parent, leaf, key)
+    rest = counts.join(pure.select(parent, leaf), [parent, leaf], "left_anti").join(pure.select(parent, key), [parent, key], "left_anti")
+    held = pure.unionByName(demix_greedy(rest, parent, leaf, key).select(parent, leaf, key)).withColumnRenamed(leaf, "target")
+    return counts.select(parent, leaf, key, "n").join(held, [parent, key], "left").select(parent, leaf, key, "n", "target")

@@ -219,3 +219,8 @@ def demix_pure_assign(spark, sf_dir):
 @query()
 def demix_greedy(spark, sf_dir):
     return S.demix_greedy(_counts(spark, sf_dir), "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query()
+def demix_moves(spark, sf_dir):
+    return S.demix_moves(_counts(spark, sf_dir), "l_orderkey", "l_linenumber", "l_returnflag")
