@@ -284,6 +284,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
     final = components(edges.union(more))
 
     named = _labels(sets.select("node", "set_key"), final).groupBy("set_key").agg(F.min("component").alias("component"))
+    named = materialize(named, "named")  # so that the join below may split a large class of copies
     return keyed.join(named, "set_key", "left")
 
 
