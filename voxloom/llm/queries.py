@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import fingerprints, packing, piece_transducer, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream, warc_fixity
+from voxloom.llm import byte_bpe, fingerprints, packing, piece_transducer, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream, warc_fixity
 from voxloom.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -54,6 +55,10 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(documents(spark, sf_dir), RANK_FILE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
