@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import byte_bpe, fingerprints, packing, piece_transducer, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream, warc_fixity
+from voxloom.llm import byte_bpe, conversation_repair, fingerprints, packing, piece_transducer, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream, warc_fixity
 from voxloom.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -59,9 +59,13 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(documents(spark, sf_dir), RANK_FILE)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_conversation_repair": conversation_repair.SQL}
