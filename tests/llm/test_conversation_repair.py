@@ -107,7 +107,7 @@ def test_whole_table_and_plan(spark):
     out = conversation_repair.report(df)
     got = canonical(out.toPandas())
     assert got == canonical(connect("/root/testdata/sf0.01").execute(conversation_repair.SQL).df()) and len(got) == 100
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = conversation_repair.report(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
 
 

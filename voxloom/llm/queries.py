@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import byte_bpe, conversation_repair, fingerprints, packing, piece_transducer, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream, warc_fixity
+from voxloom.llm import byte_bpe, conversation_repair, fingerprints, merkle_manifest, packing, piece_transducer, repair_codec, secret_scan, signature_tree, suffix_dedup, toxicity, transport_stream, warc_fixity
 from voxloom.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(documents(spark, sf_dir), RANK_FILE)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.report(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -68,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_conversation_repair": conversation_repair.SQL}
+    return {"op12_merkle_manifest": merkle_manifest.SQL, "op13_conversation_repair": conversation_repair.SQL}
