@@ -93,6 +93,50 @@ def pixel_spacing(own: Column, shared: Column, frames: Column, detector: Column,
     return F.coalesce(own, shared, median_of(frames, 100), detector, median_of(files, 50))
 
 
+def _listed(groups: Column, tag: str, most: int) -> Column:
+    return F.transform(F.slice(groups, 1, most), lambda g: F.try_element_at(g, F.lit(tag)))
+
+
+#: Frames of a file whose spacing and type, and whose thickness, are looked at.
+SPACING_FRAMES, SLICE_FRAMES = 100, 200
+
+
+def file_spacing(tags: Column, shared: Column, frames: Column) -> Column:
+    """(row, column) spacing of one file: its own, that shared by its frames, the median of its frames, the detector's; nulls without any."""
+    pair = lambda text: F.transform(F.split(text, r"\\"), safe_float)
+    whole = lambda text: F.when((F.get(pair(text), 0).isNotNull()) & (F.get(pair(text), 1).isNotNull()), pair(text))
+    own, both, detector = (whole(F.try_element_at(m, F.lit(t))) for m, t in ((tags, "PixelSpacing"), (shared, "PixelSpacing"), (tags, "ImagerPixelSpacing")))
+    each = F.filter(F.transform(_listed(frames, "PixelSpacing", SPACING_FRAMES), whole), lambda x: x.isNotNull())
+    part = lambda k: pixel_spacing(F.get(own, k), F.get(both, k), F.transform(each, lambda x: F.get(x, k)), F.get(detector, k), F.array().cast("array<double>"))
+    return F.array(part(0), part(1))
+
+
+def slice_metrics(tags: Column, shared: Column, frames: Column) -> dict[str, Column]:
+    """thickness and between (distance of slices): the file's own, else shared, else the median of its frames; frames: their number."""
+
+    def found(tag: str) -> Column:
+        each = F.transform(_listed(frames, tag, SLICE_FRAMES), safe_float)
+        return F.coalesce(safe_float(F.try_element_at(tags, F.lit(tag))), safe_float(F.try_element_at(shared, F.lit(tag))), median_of(each, SLICE_FRAMES))
+
+    return {"thickness": found("SliceThickness"), "between": found("SpacingBetweenSlices"), "frames": safe_int(F.try_element_at(tags, F.lit("NumberOfFrames")))}
+
+
+def image_flags(tags: Column, shared: Column, frames: Column) -> Column:
+    """Sorted distinct image and frame types of the file, the groups shared by its frames and its frames, in upper case."""
+    one = lambda m, t: upper_list(F.try_element_at(m, F.lit(t)))
+    each = F.flatten(F.transform(_listed(F.coalesce(frames, F.array().cast("array<map<string,string>>")), "FrameType", SPACING_FRAMES), upper_list))
+    return F.array_sort(F.array_distinct(F.concat(one(tags, "ImageType"), one(tags, "FrameType"), one(shared, "FrameType"), each)))
+
+
+def primary_secondary(types: Column) -> Column:
+    return F.when(F.array_contains(types, "PRIMARY"), "PRIMARY").when(F.array_contains(types, "SECONDARY"), "SECONDARY")
+
+
+def iso_time(when: Column) -> Column:
+    """yyyy-mm-ddThh:mm:ss with six digits of a fraction where there is one."""
+    return F.regexp_replace(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.0+$", "")
+
+
 def matrix(columns: Column, rows: Column) -> Column:
     mark = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     return F.concat(mark(columns), F.lit("x"), mark(rows))

@@ -153,14 +153,15 @@ def contrast_time(series: DataFrame, exam: str, time: str, perfusion: Column, po
 def nearest(series: DataFrame, keys: list[str], time: str, row_id: str, derived: Column, value: str, name: str) -> DataFrame:
     """Each derived row with `name`: `value` of the row nearest in time, not derived and of equal keys; ties: least id.
 
-    A running last and first of candidates in time order; the equal keys are never joined with one another.
+    The last candidate so far in time order and in the reverse order; the equal keys are never joined with one another.
     """
     order = Window.partitionBy(*keys).orderBy(time, row_id)
+    reverse = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(row_id))
     seen = F.when(~derived, F.struct(F.col(time).alias("t"), F.col(row_id).alias("i"), F.col(value).alias("v")))
     at = lambda c: c["t"].cast("timestamp").cast("double")
     now = F.col(time).cast("timestamp").cast("double")
     before = F.last(seen, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(seen, True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last(seen, True).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
     out = series.withColumn("_d", derived).withColumn("_b", before).withColumn("_a", after)
     gap_b, gap_a = F.abs(now - at(F.col("_b"))), F.abs(at(F.col("_a")) - now)
     pick_b = F.col("_a").isNull() | (gap_b < gap_a) | ((gap_b == gap_a) & (F.col("_b.i") < F.col("_a.i")))
