@@ -10,12 +10,12 @@ import operator
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxloom.operators import volumes as V
+from voxloom.operators.kernels import numbers, resampled, step
 from voxloom.operators.volumes import Shape, Step
 
 #: Three rows of four numbers or Columns: the input place of the output voxel (x, y, z, 1).
@@ -33,31 +33,16 @@ def affine_resample(values: Column, shape: Shape, out: Shape, rows: Affine, orde
     if order != 1:
         raise ValueError(f"order {order} is neither 0 nor 1")
 
-    def at(held: Column, i: Column) -> Column:
-        place = places(F.floor(i / (out[1] * out[2])), F.floor(i / out[2]) % out[1], i % out[2])
-        inside = reduce(operator.and_, [(p >= -0.5) & (p < n - 0.5) for p, n in zip(place, shape, strict=True)])
-        place = [F.greatest(F.lit(0.0), F.least(p, F.lit(n - 1.0))) for p, n in zip(place, shape, strict=True)]
-        low = [F.floor(p) for p in place]
-        total = F.lit(0.0)
-        for corner in product((0, 1), repeat=3):
-            x, y, z = (F.least(a + c, F.lit(n - 1)) for a, c, n in zip(low, corner, shape, strict=True))
-            weight = reduce(operator.mul, [p - a if c else 1 - (p - a) for p, a, c in zip(place, low, corner, strict=True)])
-            total = total + weight * F.get(held, ((x * shape[1] + y) * shape[2] + z).cast("int"))
-        return F.when(inside, total).otherwise(0.0)
-
-    grid = F.sequence(F.lit(0), F.lit(out[0] * out[1] * out[2] - 1))
-    return V.bind(values, lambda held: F.when(held.isNotNull(), F.transform(grid, lambda i: at(held, i))))
+    return resampled(values, F.array(step(numbers([x for row in rows for x in row]), shape, out)))
 
 
 def rotate_slices(values: Column, shape: Shape, degrees: Column, order: int = 1) -> Column:
     """Every slice turned about its centre by the same angle, zeros where nothing was; order 0 for masks and labels."""
     mx, my = (shape[0] - 1) / 2, (shape[1] - 1) / 2
 
-    def turned(c: Column, s: Column) -> Column:
-        rows = [[c, s, 0.0, mx - c * mx - s * my], [-s, c, 0.0, my + s * mx - c * my], [0.0, 0.0, 1.0, 0.0]]
-        return affine_resample(values, shape, shape, rows, order)
-
-    return V.bind(F.cos(F.radians(degrees)), lambda c: V.bind(F.sin(F.radians(degrees)), lambda s: turned(c, s)))
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    rows = [[c, s, F.lit(0.0), mx - c * mx - s * my], [-s, c, F.lit(0.0), my + s * mx - c * my], [0.0, 0.0, 1.0, 0.0]]
+    return affine_resample(values, shape, shape, rows, order)
 
 
 def shifted(values: Column, shape: Shape, by: Sequence[Column]) -> Column:

@@ -9,14 +9,14 @@ import ast
 import operator
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Shape = tuple[int, int, int]
+from voxloom.operators.kernels import Shape, numbers, resampled, step
+
 Place = tuple[Column, Column, Column]
 
 
@@ -79,21 +79,9 @@ def resample_nearest(values: Column, shape: Shape, out: Shape) -> Column:
 
 def resample_linear(values: Column, shape: Shape, out: Shape) -> Column:
     """Endpoint-aligned, from the eight voxels around each place."""
-    step = [(n - 1) / (m - 1) if m > 1 else 0.0 for n, m in zip(shape, out, strict=True)]
-
-    def at(held: Column, i: Column) -> Column:
-        place = [p * s for p, s in zip((F.floor(i / (out[1] * out[2])), F.floor(i / out[2]) % out[1], i % out[2]), step, strict=True)]
-        low = [F.floor(p) for p in place]
-        part = [p - a for p, a in zip(place, low, strict=True)]
-        total = F.lit(0.0)
-        for corner in product((0, 1), repeat=3):
-            x, y, z = (F.least(a + c, F.lit(n - 1)) for a, c, n in zip(low, corner, shape, strict=True))
-            weight = reduce(operator.mul, [f if c else 1 - f for f, c in zip(part, corner, strict=True)])
-            total = total + weight * F.get(held, ((x * shape[1] + y) * shape[2] + z).cast("int"))
-        return total
-
-    grid = F.sequence(F.lit(0), F.lit(out[0] * out[1] * out[2] - 1))
-    return bind(values, lambda held: F.when(held.isNotNull(), F.transform(grid, lambda i: at(held, i))))
+    scale = [(n - 1) / (m - 1) if m > 1 else 0.0 for n, m in zip(shape, out, strict=True)]
+    matrix = [x for k in range(3) for x in (*[scale[k] if j == k else 0.0 for j in range(3)], 0.0)]
+    return resampled(values, F.array(step(numbers(matrix), shape, out)))
 
 
 #: A step of a geometric pipeline: ("flip", axes), ("reorder", plane) or ("pad", ((before, after), ...)).
@@ -126,7 +114,8 @@ def all_close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e
 
 def mask_channels(values: Column, mask: Column, channels: int) -> Column:
     """Values of voxels (`channels` of them side by side) whose mask exceeds 0.5, zeros elsewhere."""
-    return F.transform(values, lambda v, i: F.when(F.get(mask, F.floor(i / channels).cast("int")) > 0.5, v).otherwise(0.0))
+    chosen = lambda b: F.transform(b["v"], lambda v, i: F.when(F.get(b["m"], F.floor(i / channels).cast("int")) > 0.5, v).otherwise(0.0))
+    return bind(F.struct(values.alias("v"), mask.alias("m")), chosen)
 
 
 def plane_of_orientation(iop: Column, least: float = 0.8) -> Column:
@@ -229,37 +218,42 @@ def volume_expr(text: str, volumes: dict[str, Column]) -> Column:
 def slab_at(values: Column, shape: Shape, width: int, z: Column) -> Column:
     """The slices z - width // 2 and on, `width` of them, zeros beyond the ends: an array of x, y, slice."""
 
-    def at(i: Column) -> Column:
-        s = z - width // 2 + i % width
-        return F.when((s >= 0) & (s < shape[2]), F.get(values, (F.floor(i / width) * shape[2] + s).cast("int"))).otherwise(0.0)
+    def at(b: Column, i: Column) -> Column:
+        s = b["z"] - width // 2 + i % width
+        return F.when((s >= 0) & (s < shape[2]), F.get(b["v"], (F.floor(i / width) * shape[2] + s).cast("int"))).otherwise(0.0)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(shape[0] * shape[1] * width - 1)), at)
+    places = F.sequence(F.lit(0), F.lit(shape[0] * shape[1] * width - 1))
+    return bind(F.struct(values.alias("v"), z.alias("z")), lambda b: F.transform(places, lambda i: at(b, i)))
 
 
 def reassemble(windows: Column, shape: Shape, width: int) -> Column:
     """The volume from the slab of each z: of the slabs that hold a slice the one of greatest z is taken."""
 
-    def at(i: Column) -> Column:
+    def at(held: Column, i: Column) -> Column:
         s = i % shape[2]
         center = F.least(s + width // 2, F.lit(shape[2] - 1))
-        return F.get(F.get(windows, center.cast("int")), (F.floor(i / shape[2]) * width + s - center + width // 2).cast("int"))
+        return F.get(F.get(held, center.cast("int")), (F.floor(i / shape[2]) * width + s - center + width // 2).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(shape[0] * shape[1] * shape[2] - 1)), at)
+    places = F.sequence(F.lit(0), F.lit(shape[0] * shape[1] * shape[2] - 1))
+    return bind(windows, lambda held: F.transform(places, lambda i: at(held, i)))
 
 
 def per_voxel(values: Column, channels: int, body: Callable[[Column], Column]) -> Column:
     """body of the `channels` values of each voxel, that lie side by side."""
-    return F.transform(F.sequence(F.lit(0), (F.size(values) / channels - 1).cast("int")), lambda j: body(F.slice(values, j * channels + 1, channels)))
+    return bind(values, lambda held: F.transform(F.sequence(F.lit(0), (F.size(held) / channels - 1).cast("int")), lambda j: body(F.slice(held, j * channels + 1, channels))))
 
 
 def fill_holes(masks: DataFrame, column: str, shape: Shape) -> DataFrame:
-    """The masks with zeros that no path of zeros (over faces) joins to the border set to 1; one numpy volume at a time."""
+    """The masks with zeros that no path of zeros (over faces) joins to the border set to 1; one numpy volume at a time. Null masks stay null."""
 
     def filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for mask in batch[column].to_pylist():
-                inside = np.pad(np.array(mask).reshape(shape) > 0, 1)
+            for mask in batch[column]:
+                if not mask.is_valid:
+                    out.append(None)
+                    continue
+                inside = np.pad(mask.values.to_numpy(zero_copy_only=False).reshape(shape) > 0, 1)
                 outside = np.zeros(inside.shape, bool)
                 outside[[0, -1]], outside[:, [0, -1]], outside[:, :, [0, -1]] = True, True, True
                 before = -1

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators import resampling as R
 from voxloom.operators import volumes as V
 
 SHAPE = (4, 4, 4)
@@ -133,11 +134,9 @@ def resample_nearest(spark, sf_dir):
 
 @query(_VOX + "SELECT vec_id, " + ", ".join(f"CAST(2 - (min({a}) + max({a})) // 2 AS BIGINT) AS shift_{a}" for a in "xyz") + " FROM vox WHERE m GROUP BY vec_id")
 def roi_center_shift(spark, sf_dir):
-    inside = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("mask", i) > 0)
-    axes = {"x": lambda i: F.floor(i / 16), "y": lambda i: F.floor(i / 4) % 4, "z": lambda i: i % 4}
-    middle = lambda a: F.floor((F.array_min(a) + F.array_max(a)) / 2)
-    rows = volumes(spark, sf_dir).withColumn("p", inside).where(F.size("p") > 0)
-    return rows.select("vec_id", *[(2 - middle(F.transform("p", f))).cast("long").alias(f"shift_{n}") for n, f in axes.items()])
+    rows = volumes(spark, sf_dir).withColumn("box", R.bounding_box(F.col("mask"), R.shape_of(SHAPE))).where(F.col("box").isNotNull())
+    by = R.center_padding(F.col("box"), R.shape_of(SHAPE))
+    return rows.select("vec_id", *[F.get(F.get(by, F.lit(k)), F.lit(0)).cast("long").alias(f"shift_{n}") for k, n in enumerate("xyz")])
 
 
 @query(_VOX + ", g AS (SELECT vec_id, CAST(unnest(range(0, 4)) AS INT) AS z FROM embeddings), h AS (SELECT *, CAST(unnest(range(0, 64)) AS INT) AS i FROM g) SELECT h.vec_id, h.z, h.i, coalesce(v, 0) AS v FROM h LEFT JOIN vox ON vox.vec_id = h.vec_id AND vox.x * 4 + vox.y = h.i // 4 AND vox.z = h.z - 2 + h.i % 4")
