@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,8 @@ TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 76
 SCHEMA = "path string, shape array<int>, zooms array<double>, affine array<double>, dtype string, voxels array<double>"
 
 
-def decode(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray, str]:
-    """(voxels, zooms, 4 x 4 affine, type) of a file, plain or gzipped; ValueError if it is no NIfTI-1 file."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+def decode_header(raw: bytes) -> tuple[tuple[int, ...], list[float], np.ndarray, np.dtype, int, float, float]:
+    """(shape, zooms, 4 x 4 affine, type, place of the voxels, slope, intercept) of the first 348 bytes; ValueError if it is no NIfTI-1 file."""
     order = next((o for o in "<>" if len(raw) >= HEADER and struct.unpack_from(o + "i", raw)[0] == HEADER), None)
     if order is None or raw[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
@@ -29,11 +28,6 @@ def decode(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray, str]:
         raise ValueError(f"unsupported voxel type {code}")
     pixdim = struct.unpack_from(order + "8f", raw, 76)
     offset, slope, inter = struct.unpack_from(order + "3f", raw, 108)
-    shape = dim[1 : 1 + dim[0]]
-    kind = np.dtype(order + TYPES[code])
-    voxels = np.frombuffer(raw, kind, int(np.prod(shape)), int(offset)).reshape(shape, order="F").astype(np.float64)
-    if slope and (slope, inter) != (1.0, 0.0):
-        voxels = voxels * slope + inter
     qform, sform = struct.unpack_from(order + "2h", raw, 252)
     affine = np.eye(4)
     if sform > 0:
@@ -49,7 +43,18 @@ def decode(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray, str]:
         affine[:3, 3] = origin
     else:
         affine[[0, 1, 2], [0, 1, 2]] = pixdim[1:4]
-    return voxels, [float(x) for x in pixdim[1 : 1 + dim[0]]], affine, kind.name
+    return dim[1 : 1 + dim[0]], [float(x) for x in pixdim[1 : 1 + dim[0]]], affine, np.dtype(order + TYPES[code]), int(offset), slope, inter
+
+
+def decode(raw: bytes) -> tuple[np.ndarray, list[float], np.ndarray, str]:
+    """(voxels, zooms, 4 x 4 affine, type) of a file, plain or gzipped; ValueError if it is no NIfTI-1 file."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    shape, zooms, affine, kind, offset, slope, inter = decode_header(raw)
+    voxels = np.frombuffer(raw, kind, int(np.prod(shape)), offset).reshape(shape, order="F").astype(np.float64)
+    if slope and (slope, inter) != (1.0, 0.0):
+        voxels = voxels * slope + inter
+    return voxels, zooms, affine, kind.name
 
 
 def encode(voxels: np.ndarray, affine: np.ndarray, compress: bool = False) -> bytes:
@@ -72,14 +77,14 @@ def encode(voxels: np.ndarray, affine: np.ndarray, compress: bool = False) -> by
 
 
 def canonical(voxels: np.ndarray, affine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Axes in the order and direction closest to right, anterior, superior, and the affine that keeps every voxel's place."""
-    part, order = np.abs(affine[:3, :3]), [0, 0, 0]
-    left = {0, 1, 2}
-    for world, axis in sorted(((w, a) for w in range(3) for a in range(3)), key=lambda p: -part[p]):
-        if order[world] == 0 and axis in left and world not in {w for w in range(3) if order[w]}:
-            order[world] = axis + 1
-            left.discard(axis)
-    axes = [o - 1 for o in order]
+    """Axes in the order and direction closest to right, anterior, superior, and the affine that keeps every voxel's place.
+
+    Of the six orders the one with the greatest product of unit-axis parts is taken; flat files get a third axis of one voxel.
+    """
+    voxels = voxels.reshape(*voxels.shape, *[1] * (3 - voxels.ndim))
+    size = np.linalg.norm(affine[:3, :3], axis=0)
+    part = np.abs(affine[:3, :3]) / np.where(size > 0, size, 1)
+    axes = max(permutations(range(3)), key=lambda order: sum(np.log(max(part[w, a], 1e-12)) for w, a in enumerate(order)))
     out, moved = np.transpose(voxels, [*axes, *range(3, voxels.ndim)]), affine[:, [*axes, 3]].copy()
     for k in range(3):
         if moved[k, k] < 0:
@@ -116,8 +121,8 @@ def with_bytes(volumes: DataFrame, kind: str = "f4", compress: bool = True) -> D
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("shape", "affine", "voxels"))
-            out = [None if v is None else encode(np.array(v).reshape(s).astype(kind), np.array(a).reshape(4, 4), compress) for s, a, v in zip(*columns, strict=True)]
+            rows = zip(batch["shape"].to_pylist(), batch["affine"].to_pylist(), batch["voxels"], strict=True)
+            out = [encode(v.values.to_numpy(zero_copy_only=False).reshape(s).astype(kind), np.array(a).reshape(4, 4), compress) if v.is_valid else None for s, a, v in rows]
             yield pa.record_batch([batch["path"], pa.array(out, pa.binary())], names=["path", "content"])
 
     return volumes.select("path", "shape", "affine", "voxels").mapInArrow(encoded, "path string, content binary")
