@@ -3,8 +3,10 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from voxloom.functions import headers
-from voxloom.operators import catalog
+from voxloom.operators import catalog, series
 from voxloom.sources import dicom, nifti
 
 
@@ -114,6 +116,46 @@ def test_ini_and_path_lists(spark, tmp_path):
     assert [r["path"] for r in catalog.read_paths(spark, f"file://{tmp_path}/p.txt").collect()] == ["/a/b", "", "/c"]
 
 
+def test_ini_files_keep_their_own_sections(spark, tmp_path):
+    (tmp_path / "a.ini").write_text("x0=0\n[A]\nx=1\ny=2\n")
+    (tmp_path / "b.ini").write_text("[B]\nx=3\n[C]\ny=4\n")
+    got = {(r["path"].rsplit("/", 1)[1], r["section"], r["key"], r["value"]) for r in catalog.read_ini(spark, f"file://{tmp_path}/*.ini").collect()}
+    assert got == {("a.ini", None, "x0", "0"), ("a.ini", "A", "x", "1"), ("a.ini", "A", "y", "2"), ("b.ini", "B", "x", "3"), ("b.ini", "C", "y", "4")}
+
+
+def test_places_over_many_ranges_and_equal_draws(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "RANGE_ROWS", 50)
+    rows = spark.range(1000).repartition(7)
+    assert [(r["id"], r["rank"]) for r in catalog.ranked(rows, "id").orderBy("id").collect()] == [(i, i) for i in range(1000)]
+    monkeypatch.setattr(catalog, "_drawn", lambda key, seed: F.md5((F.col(key) % 3).cast("string")))
+    once, twice = ([(r["id"], r["place"]) for r in catalog.shuffled(rows.repartition(n), "id", 5).orderBy("place").collect()] for n in (3, 8))
+    assert once == twice and [p for _, p in once] == list(range(1000))
+
+
+def test_null_masks_stay_null(spark):
+    from voxloom.operators import volumes
+
+    ring = [[1, 1, 1], [1, 0, 1], [1, 1, 1]]
+    solid = np.array([np.ones((3, 3)), ring, np.ones((3, 3))]).astype(int).ravel().tolist()
+    df = spark.createDataFrame([(1, solid), (2, None), (3, [0] * 27)], "id int, m array<int>")
+    got = {r["id"]: r["m"] for r in volumes.fill_holes(df, "m", (3, 3, 3)).collect()}
+    assert got == {1: [1] * 27, 2: None, 3: [0] * 27}
+
+
+def test_nearest_in_time_over_a_long_key(spark):
+    import random
+
+    rng = random.Random(1)
+    times = rng.sample(range(100_000), 3000)
+    rows = [(i, t, rng.random() < 0.5, float(i)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "i long, s long, d boolean, v double").selectExpr("1 AS k", "i", "timestamp_seconds(s) AS t", "d", "v")
+    got = {r["i"]: r["near"] for r in series.nearest(df, ["k"], "t", "i", F.col("d"), "v", "near").collect()}
+    plain = sorted((t, i) for i, t, d, _ in rows if not d)
+    for i, t, d, _ in rows:
+        if d:
+            assert got[i] == float(min((abs(t - s), j) for s, j in plain)[1])
+
+
 def test_class_maps_are_never_evaluated():
     assert headers.parse_class_map("{(1, 2): 1, (3,): 'all'}") == {(1, 2): 1, (3,): "all"}
     assert headers.parse_class_map(" None ") == headers.parse_class_map(None) == {}

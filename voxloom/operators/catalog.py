@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, key: str, name: str = "rank", ranges: int = 64) -> DataFrame:
-    """df with each row's place from 0 by a unique numeric key, without a window over all rows.
+#: Rows that one range of ranked() is meant to hold.
+RANGE_ROWS = 1 << 20
 
-    Rows are numbered within ranges of the key; the driver holds the bounds and counts of at most `ranges` of them.
+
+def ranked(df: DataFrame, key: str | list[str], name: str = "rank", ranges: int | None = None) -> DataFrame:
+    """df with each row's place from 0 by a unique key of one or more columns, without a window over all rows.
+
+    Rows are dealt by ranges of the key, as many as the table asks for, and numbered within each; only the counts of the ranges
+    are summed in one place. The dealt rows stay on the executors' disks, for counts and numbers must come of the same ranges.
     """
-    cuts = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))))
-    piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    dealt = df.withColumn("_piece", piece)
-    before, firsts = 0, []
-    for r in sorted(dealt.groupBy("_piece").count().collect()):
-        firsts += [F.lit(r["_piece"]), F.lit(before).cast("long")]
-        before += r["count"]
-    within = F.row_number().over(Window.partitionBy("_piece").orderBy(key)) - 1
-    start = F.element_at(F.create_map(*firsts), F.col("_piece")) if firsts else F.lit(0)
-    return dealt.withColumn(name, (start + within).cast("long")).drop("_piece")
+    keys = [key] if isinstance(key, str) else key
+    ranges = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("_piece", F.shiftright("_at", 33)).persist(StorageLevel.DISK_ONLY)
+    counts = dealt.groupBy("_piece").agg(F.count("*").alias("_n"))
+    starts = counts.select("_piece", F.coalesce(F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return dealt.join(starts, "_piece").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_piece", "_start")
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -34,7 +37,7 @@ def _drawn(key: str, seed: int) -> Column:
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """df with `place`: its place from 0 in an order drawn by the seed, the same in every run; the key must be unique."""
-    return ranked(df.withColumn("_m", F.conv(F.substring(_drawn(key, seed), 1, 12), 16, 10).cast("long")), "_m", "place").drop("_m")
+    return ranked(df.withColumn("_m", _drawn(key, seed)), ["_m", key], "place").drop("_m")
 
 
 def sampled(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
@@ -115,12 +118,13 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ini(spark: SparkSession, path: str) -> DataFrame:
-    """section, key (lower case), value of the lines `key = value` of an INI file; comments and blank lines are left out.
+    """path, section, key (lower case) and value of the lines `key = value` of INI files; comments and blank lines are left out.
 
-    A file is one row of text here, for sections run over lines.
+    A file is one row of text, its sections run over its own lines.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    section = F.last(F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]+)\]\s*$", 1), F.lit("")), True).over(Window.partitionBy(F.lit(0)).orderBy("n"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    section = F.last(F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]+)\]\s*$", 1), F.lit("")), True).over(Window.partitionBy("path").orderBy("n"))
     pair = r"^\s*([^#;=\[\s][^=]*?)\s*[=:]\s*(.*?)\s*$"
     found = lines.withColumn("section", section).where(F.col("line").rlike(pair))
-    return found.select("section", F.lower(F.regexp_extract("line", pair, 1)).alias("key"), F.regexp_extract("line", pair, 2).alias("value"))
+    return found.select("path", "section", F.lower(F.regexp_extract("line", pair, 1)).alias("key"), F.regexp_extract("line", pair, 2).alias("value"))

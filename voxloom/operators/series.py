@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,22 +221,26 @@ def demix_counts(files: DataFrame, parent: str, leaf: str, key: str) -> DataFram
     return n.withColumn("total", F.sum("n").over(by_key)).withColumn("key_leaves", F.count("*").over(by_key)).withColumn("leaf_keys", F.count("*").over(by_leaf))
 
 
-def demix_greedy(counts: DataFrame, parent: str, leaf: str, key: str) -> DataFrame:
-    """Pairs taken by falling n, then leaf, then key, while both are free; a parent's distinct pairs meet in one task."""
+def demix_key(readable: Column, uid: Column, number: Column, description: Column, protocol: Column) -> Column:
+    """What tells a file's series: its UID, else number (-1 without one), description and protocol, else one key for all unreadable files."""
+    text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    fallback = F.concat_ws("|", F.lit("FALLBACK"), F.coalesce(number, F.lit(-1)).cast("string"), text(description), text(protocol))
+    by_uid = F.when(F.coalesce(uid, F.lit("")) != "", F.concat(F.lit("UID|"), uid)).otherwise(fallback)
+    return F.when(F.coalesce(readable, F.lit(False)), by_uid).otherwise("UNKNOWN")
+
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        leaves, keys, out = set(), set(), []
-        ordered = rows.assign(_o=-rows["n"]).sort_values(["_o", leaf, key]).drop(columns="_o")
-        for r in ordered.itertuples(index=False):
-            one, two = getattr(r, leaf), getattr(r, key)
-            if one not in leaves and two not in keys:
-                leaves.add(one)
-                keys.add(two)
-                out.append(r)
-        return pd.DataFrame(out, columns=ordered.columns)
+def demix_greedy(counts: DataFrame, parent: str, leaf: str, key: str) -> DataFrame:
+    """Pairs taken by falling n, then leaf, then key, while both are free: a fold over the ordered pairs of each parent.
 
-    narrow = counts.select(parent, leaf, key, "n")
-    return narrow.groupBy(parent).applyInPandas(take, narrow.schema)
+    A parent's distinct pairs of leaf and key meet in one row; its files do not.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in counts.select(leaf, key).schema}
+    pair = F.struct((-F.col("n")).alias("o"), F.col(leaf).alias("l"), F.col(key).alias("k"))
+    ordered = counts.groupBy(parent).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
+    none = F.expr(f"CAST(array() AS array<struct<o:bigint,l:{kinds[leaf]},k:{kinds[key]}>>)")
+    clash = lambda taken, p: F.exists(taken, lambda t: (t["l"] == p["l"]) | (t["k"] == p["k"]))
+    taken = F.aggregate("_pairs", none, lambda taken, p: F.when(clash(taken, p), taken).otherwise(F.array_append(taken, p)))
+    return ordered.select(parent, F.explode(taken).alias("p")).select(parent, F.col("p.l").alias(leaf), F.col("p.k").alias(key), (-F.col("p.o")).alias("n"))
 
 
 def demix_moves(counts: DataFrame, parent: str, leaf: str, key: str) -> DataFrame:
@@ -249,3 +252,22 @@ def demix_moves(counts: DataFrame, parent: str, leaf: str, key: str) -> DataFram
     rest = counts.join(pure.select(parent, leaf), [parent, leaf], "left_anti").join(pure.select(parent, key), [parent, key], "left_anti")
     held = pure.unionByName(demix_greedy(rest, parent, leaf, key).select(parent, leaf, key)).withColumnRenamed(leaf, "target")
     return counts.select(parent, leaf, key, "n").join(held, [parent, key], "left").select(parent, leaf, key, "n", "target")
+
+
+def demix_targets(moves: DataFrame, parent: str, leaf: str, key: str, base: Column) -> DataFrame:
+    """The moves with `folder`: the name of the target leaf, or of a new one by `base` (of parent and key).
+
+    Where a leaf or an earlier new folder (by key) of the parent has that name, the first free one of base-2, base-3, ... is taken.
+    """
+    fresh = F.when(F.col("target").isNull(), F.struct(base.alias("b"), F.col(key).alias("k")))
+    by_parent = moves.groupBy(parent).agg(F.collect_set(F.col(leaf).cast("string")).alias("_there"), F.sort_array(F.collect_set(fresh)).alias("_new"))
+    name = lambda b, k: F.when(k == 1, b).otherwise(F.concat(b, F.lit("-"), k.cast("string")))
+
+    def named(there: Column, new: Column, x: Column, i: Column) -> Column:
+        place = F.size(F.filter(F.slice(new, F.lit(1), i + 1), lambda y: y["b"] == x["b"]))
+        names = F.transform(F.sequence(F.lit(1), place + F.size(there)), lambda k: name(x["b"], k))
+        return F.struct(x["k"].alias("k"), F.get(F.filter(names, lambda n: ~F.array_contains(there, n)), place - 1).alias("folder"))
+
+    made = by_parent.select(parent, F.explode(F.transform("_new", lambda x, i: named(F.col("_there"), F.col("_new"), x, i))).alias("m"))
+    made = made.select(parent, F.col("m.k").alias(key), F.col("m.folder").alias("_made"))
+    return moves.join(made, [parent, key], "left").withColumn("folder", F.coalesce(F.col("target").cast("string"), "_made")).drop("_made")

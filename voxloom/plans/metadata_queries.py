@@ -216,11 +216,50 @@ def demix_pure_assign(spark, sf_dir):
     return _counts(spark, sf_dir).where("leaf_keys = 1 and n = total").select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
-@query()
+#: The greedy choice as a recursion over the ordered pairs of each order; {} names the pairs.
+_GREEDY = (
+    "o AS (SELECT l_orderkey, l_linenumber, l_returnflag, n, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, l_linenumber, l_returnflag) AS k FROM {0}), "
+    "g AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS leaves, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS INT) AS l_linenumber, CAST(NULL AS VARCHAR) AS l_returnflag, CAST(0 AS BIGINT) AS n FROM {0} UNION ALL "
+    "SELECT l_orderkey, k, CASE WHEN free THEN list_append(leaves, l_linenumber) ELSE leaves END, CASE WHEN free THEN list_append(keys, l_returnflag) ELSE keys END, l_linenumber, l_returnflag, CASE WHEN free THEN n ELSE 0 END FROM "
+    "(SELECT o.*, g.leaves, g.keys, NOT list_contains(g.leaves, o.l_linenumber) AND NOT list_contains(g.keys, o.l_returnflag) AS free FROM g JOIN o ON o.l_orderkey = g.l_orderkey AND o.k = g.k + 1))"
+)
+_RECURSIVE = _DEMIX.replace("WITH c AS", "WITH RECURSIVE c AS").rstrip() + ", "
+
+
+@query(_RECURSIVE + _GREEDY.format("d") + " SELECT l_orderkey, l_linenumber, l_returnflag, n FROM g WHERE n > 0")
 def demix_greedy(spark, sf_dir):
     return S.demix_greedy(_counts(spark, sf_dir), "l_orderkey", "l_linenumber", "l_returnflag")
 
 
-@query()
+_MOVES = (
+    _RECURSIVE + "pure AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM d WHERE leaf_keys = 1 AND n = total), "
+    "rest AS (SELECT * FROM d WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM pure) AND (l_orderkey, l_returnflag) NOT IN (SELECT (l_orderkey, l_returnflag) FROM pure)), "
+    + _GREEDY.format("rest") + ", h AS (SELECT * FROM pure UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag FROM g WHERE n > 0), "
+    "m AS (SELECT d.l_orderkey, d.l_linenumber, d.l_returnflag, d.n, h.l_linenumber AS target FROM d LEFT JOIN h ON h.l_orderkey = d.l_orderkey AND h.l_returnflag = d.l_returnflag) "
+)
+
+
+@query(_MOVES + "SELECT * FROM m")
 def demix_moves(spark, sf_dir):
     return S.demix_moves(_counts(spark, sf_dir), "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query(
+    _MOVES.rstrip() + ", f AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS j FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM m WHERE target IS NULL)), "
+    "w AS (SELECT f.*, j + CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.l_orderkey = f.l_orderkey AND d.l_linenumber = 1) THEN 1 ELSE 0 END AS k FROM f) "
+    "SELECT m.*, coalesce(CAST(target AS VARCHAR), CASE WHEN w.k = 1 THEN '1' ELSE '1-' || w.k END) AS folder FROM m LEFT JOIN w ON w.l_orderkey = m.l_orderkey AND w.l_returnflag = m.l_returnflag"
+)
+def demix_targets(spark, sf_dir):
+    """All new folders are to be called 1, a name that a leaf may have."""
+    moves = S.demix_moves(_counts(spark, sf_dir), "l_orderkey", "l_linenumber", "l_returnflag")
+    return S.demix_targets(moves, "l_orderkey", "l_linenumber", "l_returnflag", F.lit("1"))
+
+
+@query(
+    "SELECT l_orderkey, CASE WHEN l_suppkey % 11 = 0 THEN 'UNKNOWN' WHEN l_partkey % 3 = 0 THEN 'UID|' || l_returnflag ELSE 'FALLBACK|' || CASE WHEN l_partkey % 5 = 0 THEN '-1' ELSE CAST(l_linenumber AS VARCHAR) END || '|' || lower(l_linestatus) || '|' END AS series_key, count(*) AS n FROM lineitem GROUP BY ALL"
+)
+def demix_key_rule(spark, sf_dir):
+    uid = F.when(F.col("l_partkey") % 3 == 0, F.col("l_returnflag")).when(F.col("l_partkey") % 3 == 1, "")
+    number = F.when(F.col("l_partkey") % 5 != 0, F.col("l_linenumber"))
+    key = S.demix_key(F.col("l_suppkey") % 11 != 0, uid, number, F.concat(F.lit(" "), "l_linestatus", F.lit(" ")), F.lit(None).cast("string"))
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", key.alias("series_key")).agg(F.count("*").alias("n"))
