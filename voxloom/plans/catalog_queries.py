@@ -1,4 +1,4 @@
-"""Header and catalog operators. Each query with its SQL; the SQL of literal rows lists what each must give, written out by hand."""
+"""Header and catalog operators. Each query with its SQL; header cases are dealt over the events, and their SQL lists what each must give, written out by hand."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import catalog as C
 from voxloom.functions import headers as H
 from voxloom.operators import series as S
-from voxloom.plans.metadata_queries import _table
+from voxloom.plans.metadata_queries import _table, dealt
 from voxloom.plans.volume_queries import query, volumes
 
 
@@ -16,6 +16,11 @@ def expected(columns: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({columns})"
 
 
+def over_events(columns: str, rows: list[tuple]) -> str:
+    """Every event with what its case must give."""
+    return f"SELECT event_id, {columns.split(', ', 1)[1]} FROM ({expected(columns, rows)}) JOIN events ON event_id % {len(rows)} = id - 1"
+
+
 #: id, acquisition date, time, content date, time, series date, time, study date, time; and what comes of it.
 DATES = [
     (1, "20200131", "101530", None, None, None, None, None, None, "2020-01-31 10:15:30.000000"), (2, "20200131", "101530.25", None, None, None, None, None, None, "2020-01-31 10:15:30.250000"),
@@ -26,12 +31,12 @@ DATES = [
 ]
 
 
-@query(expected("id, taken", [(r[0], r[9]) for r in DATES]))
+@query(over_events("id, taken", [(r[0], r[9]) for r in DATES]))
 def parse_dt(spark, sf_dir):
     names = ["d1", "t1", "d2", "t2", "d3", "t3", "d4", "t4"]
-    df = spark.createDataFrame([r[:9] for r in DATES], "id int, " + ", ".join(f"{n} string" for n in names))
+    df = dealt(spark, sf_dir, [r[:9] for r in DATES], "id int, " + ", ".join(f"{n} string" for n in names))
     at = H.parse_dt(*[(F.col(f"d{k}"), F.col(f"t{k}")) for k in range(1, 5)])
-    return df.select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("taken"))
+    return df.select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("taken"))
 
 
 #: id, tags; pulse sequence name, contrast agent, b-value.
@@ -42,11 +47,11 @@ HINTS = [
 ]
 
 
-@query(expected("id, pulse_sequence_name, contrast_agent, b_value", [(r[0], *r[2:]) for r in HINTS]).replace("SELECT *", "SELECT id, pulse_sequence_name, contrast_agent, CAST(b_value AS DOUBLE) AS b_value"))
+@query(over_events("id, pulse_sequence_name, contrast_agent, b_value", [(r[0], *r[2:]) for r in HINTS]).replace("SELECT *", "SELECT id, pulse_sequence_name, contrast_agent, CAST(b_value AS DOUBLE) AS b_value"))
 def vendor_hints(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in HINTS], "id int, tags map<string,string>")
+    df = dealt(spark, sf_dir, [r[:2] for r in HINTS], "id int, tags map<string,string>")
     found = H.vendor_hints(F.col("tags"))
-    return df.select("id", *[found[n].alias(n) for n in ("pulse_sequence_name", "contrast_agent", "b_value")])
+    return df.select("event_id", *[found[n].alias(n) for n in ("pulse_sequence_name", "contrast_agent", "b_value")])
 
 
 #: id, text; whole number, number, upper list, clean text.
@@ -56,10 +61,10 @@ SCALARS = [
 ]
 
 
-@query(expected("id, whole, number, parts, clean", [(r[0], *r[2:]) for r in SCALARS]).replace("SELECT *", "SELECT id, CAST(whole AS BIGINT) AS whole, CAST(number AS DOUBLE) AS number, parts, clean"))
+@query(over_events("id, whole, number, parts, clean", [(r[0], *r[2:]) for r in SCALARS]).replace("SELECT *", "SELECT id, CAST(whole AS BIGINT) AS whole, CAST(number AS DOUBLE) AS number, parts, clean"))
 def safe_casts(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in SCALARS], "id int, t string")
-    return df.select("id", H.safe_int(F.col("t")).alias("whole"), H.safe_float(F.col("t")).alias("number"), F.array_join(H.upper_list(F.col("t")), ",").alias("parts"), H.clean_lower(F.col("t")).alias("clean"))
+    df = dealt(spark, sf_dir, [r[:2] for r in SCALARS], "id int, t string")
+    return df.select("event_id", H.safe_int(F.col("t")).alias("whole"), H.safe_float(F.col("t")).alias("number"), F.array_join(H.upper_list(F.col("t")), ",").alias("parts"), H.clean_lower(F.col("t")).alias("clean"))
 
 
 #: id, columns, rows, x, y, spacing, thickness; matrix, voxel text, z.
@@ -69,21 +74,21 @@ DISPLAY = [
 ]
 
 
-@query(expected("id, matrix, voxel_mm, z", [(r[0], *r[7:]) for r in DISPLAY]).replace("SELECT *", "SELECT id, matrix, voxel_mm, CAST(z AS DOUBLE) AS z"))
+@query(over_events("id, matrix, voxel_mm, z", [(r[0], *r[7:]) for r in DISPLAY]).replace("SELECT *", "SELECT id, matrix, voxel_mm, CAST(z AS DOUBLE) AS z"))
 def display_fields(spark, sf_dir):
-    df = spark.createDataFrame([r[:7] for r in DISPLAY], "id int, c int, r int, x double, y double, s double, t double")
+    df = dealt(spark, sf_dir, [r[:7] for r in DISPLAY], "id int, c int, r int, x double, y double, s double, t double")
     df = df.withColumn("z", H.first_nonzero(F.col("s"), F.col("t")))
-    return df.select("id", H.matrix(F.col("c"), F.col("r")).alias("matrix"), H.voxel_mm(F.col("x"), F.col("y"), F.col("z")).alias("voxel_mm"), "z")
+    return df.select("event_id", H.matrix(F.col("c"), F.col("r")).alias("matrix"), H.voxel_mm(F.col("x"), F.col("y"), F.col("z")).alias("voxel_mm"), "z")
 
 
 #: id, number, description, uid; the folder's name.
 DIRNAMES = [(1, 3, "Ax T1 post-GAD", "1.2.3", "3_Ax_T1_post-GAD_"), (2, None, None, "1.2.3", "0_Series_"), (3, 0, " ", "1.2.4", "0_Series_"), (4, 7, "größe (mm)/x", "9", "7_größe_mm_x_")]
 
 
-@query("SELECT id, name || substring(sha1(uid), 1, 6) AS dirname FROM (" + expected("id, uid, name", [(r[0], r[3], r[4]) for r in DIRNAMES]) + ")")
+@query("SELECT event_id, name || substring(sha1(uid), 1, 6) AS dirname FROM (" + over_events("id, uid, name", [(r[0], r[3], r[4]) for r in DIRNAMES]) + ")")
 def series_dirname_cases(spark, sf_dir):
-    df = spark.createDataFrame([r[:4] for r in DIRNAMES], "id int, number int, description string, uid string")
-    return df.select("id", H.series_dirname(F.col("number"), F.col("description"), F.col("uid")).alias("dirname"))
+    df = dealt(spark, sf_dir, [r[:4] for r in DIRNAMES], "id int, number int, description string, uid string")
+    return df.select("event_id", H.series_dirname(F.col("number"), F.col("description"), F.col("uid")).alias("dirname"))
 
 
 #: id, name; whether a localizer, its subtype.
@@ -93,10 +98,10 @@ LOCALIZERS = [
 ]
 
 
-@query(expected("id, localizer, subtype", [(r[0], *r[2:]) for r in LOCALIZERS]))
+@query(over_events("id, localizer, subtype", [(r[0], *r[2:]) for r in LOCALIZERS]))
 def localizer(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in LOCALIZERS], "id int, name string").withColumn("t", S.name_tokens(F.col("name")))
-    return df.select("id", F.col("t").rlike(S.LOCALIZER).alias("localizer"), S._localizer_subtype(F.col("t")).alias("subtype"))
+    df = dealt(spark, sf_dir, [r[:2] for r in LOCALIZERS], "id int, name string").withColumn("t", S.name_tokens(F.col("name")))
+    return df.select("event_id", F.col("t").rlike(S.LOCALIZER).alias("localizer"), S._localizer_subtype(F.col("t")).alias("subtype"))
 
 
 #: id, name, image types; the categories of diffusion, susceptibility and perfusion, and whether derived (given the first of them).
@@ -111,12 +116,12 @@ CATEGORIES = [
 ]
 
 
-@query(expected("id, dwi, swi, perfusion, derived", [(r[0], *r[3:]) for r in CATEGORIES]))
+@query(over_events("id, dwi, swi, perfusion, derived", [(r[0], *r[3:]) for r in CATEGORIES]))
 def derived_category(spark, sf_dir):
-    df = spark.createDataFrame([r[:3] for r in CATEGORIES], "id int, name string, kinds string").withColumn("t", S.name_tokens(F.col("name")))
+    df = dealt(spark, sf_dir, [r[:3] for r in CATEGORIES], "id int, name string, kinds string").withColumn("t", S.name_tokens(F.col("name")))
     t, types = F.col("t"), H.upper_list(F.col("kinds"))
     found = [S.category(t, types, rules) for rules in (S.DWI_CATEGORIES, S.SWI_CATEGORIES, S.PERFUSION_CATEGORIES)]
-    return df.select("id", *[c.alias(n) for c, n in zip(found, ("dwi", "swi", "perfusion"), strict=True)], S.is_derived(t, types, F.coalesce(*found)).alias("derived"))
+    return df.select("event_id", *[c.alias(n) for c, n in zip(found, ("dwi", "swi", "perfusion"), strict=True)], S.is_derived(t, types, F.coalesce(*found)).alias("derived"))
 
 
 #: id, name; its plane and base label by name alone.
@@ -125,10 +130,10 @@ NAMES = [
 ]
 
 
-@query(expected("id, plane", [(r[0], r[2]) for r in NAMES]))
+@query(over_events("id, plane", [(r[0], r[2]) for r in NAMES]))
 def detect_plane_cases(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in NAMES], "id int, name string")
-    return df.select("id", S.first_rule(S.name_tokens(F.col("name")), S.PLANE_RULES).alias("plane"))
+    df = dealt(spark, sf_dir, [r[:2] for r in NAMES], "id int, name string")
+    return df.select("event_id", S.first_rule(S.name_tokens(F.col("name")), S.PLANE_RULES).alias("plane"))
 
 
 @query(

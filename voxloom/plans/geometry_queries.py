@@ -8,8 +8,8 @@ from voxloom.functions import headers as H
 from voxloom.operators import catalog as C
 from voxloom.operators import geometry as G
 from voxloom.operators import volumes as V
-from voxloom.plans.catalog_queries import expected
-from voxloom.plans.metadata_queries import _table
+from voxloom.plans.catalog_queries import over_events
+from voxloom.plans.metadata_queries import _table, dealt
 from voxloom.plans.volume_queries import _GRID, _PAIRS, _VOX, SHAPE, _pairs, query, subjects, volumes, voxels
 
 #: A quarter turn, half a step along z and shifts that leave the volume.
@@ -139,7 +139,7 @@ SPACINGS = [
 ]
 
 
-@query(expected("id, spacing", [(r[0], r[6]) for r in SPACINGS]).replace("SELECT *", "SELECT id, CAST(spacing AS DOUBLE) AS spacing"))
+@query(over_events("id, spacing", [(r[0], r[6]) for r in SPACINGS]).replace("SELECT *", "SELECT id, CAST(spacing AS DOUBLE) AS spacing"))
 def pixel_spacing(spark, sf_dir):
-    df = spark.createDataFrame([r[:6] for r in SPACINGS], "id int, own double, shared double, frames array<double>, detector double, files array<double>")
-    return df.select("id", H.pixel_spacing(F.col("own"), F.col("shared"), F.col("frames"), F.col("detector"), F.col("files")).alias("spacing"))
+    df = dealt(spark, sf_dir, [r[:6] for r in SPACINGS], "id int, own double, shared double, frames array<double>, detector double, files array<double>")
+    return df.select("event_id", H.pixel_spacing(F.col("own"), F.col("shared"), F.col("frames"), F.col("detector"), F.col("files")).alias("spacing"))

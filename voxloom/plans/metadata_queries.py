@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.functions import headers as H
+from voxloom.operators import catalog as C
 from voxloom.operators import series as S
 from voxloom.plans.volume_queries import query
 
@@ -16,30 +17,36 @@ SERIES = [
 ]
 _VALUES = "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in SERIES)
 _TOKENS = r"regexp_replace(lower(trim(regexp_replace(coalesce(name, ''), '\s+', ' ', 'g'))), '[_-]+', ' ', 'g')"
-_SERIES = f"WITH s AS (SELECT CAST(id AS INT) AS id, {_TOKENS} AS tokens, te, tr FROM ({_VALUES}) t(id, name, te, tr)) "
+_SERIES = f"WITH s AS (SELECT event_id, {_TOKENS} AS tokens, te, tr FROM ({_VALUES}) t(no, name, te, tr) JOIN events ON event_id % {len(SERIES)} = no - 1) "
 
 
 def _rule_sql(rules):
     return "CASE " + " ".join(f"WHEN regexp_matches(tokens, '{p}') THEN '{label}'" for p, label in rules) + " END"
 
 
-def _series(spark):
-    df = spark.createDataFrame(SERIES, "id int, name string, te double, tr double")
-    return df.select("id", S.name_tokens(F.col("name")).alias("tokens"), "te", "tr")
-
-
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(_SERIES + f"SELECT id, {_rule_sql(S.PLANE_RULES)} AS plane FROM s")
+def dealt(spark, sf_dir, cases, schema):
+    """Every event with one of the cases, whose `id` counts from 1: event k gets case k % n + 1."""
+    known = F.broadcast(spark.createDataFrame(cases, schema))
+    return _table(spark, sf_dir, "events").select("event_id").join(known, F.col("event_id") % len(cases) == F.col("id") - 1).drop("id")
+
+
+def _series(spark, sf_dir):
+    df = dealt(spark, sf_dir, SERIES, "id int, name string, te double, tr double")
+    return df.select("event_id", S.name_tokens(F.col("name")).alias("tokens"), "te", "tr")
+
+
+@query(_SERIES + f"SELECT event_id, {_rule_sql(S.PLANE_RULES)} AS plane FROM s")
 def detect_plane(spark, sf_dir):
-    return _series(spark).select("id", S.first_rule(F.col("tokens"), S.PLANE_RULES).alias("plane"))
+    return _series(spark, sf_dir).select("event_id", S.first_rule(F.col("tokens"), S.PLANE_RULES).alias("plane"))
 
 
-@query(_SERIES + f", b AS (SELECT *, {_rule_sql(S.BASE_RULES)} AS named, CASE WHEN te >= 80 AND tr >= 2000 THEN 'T2w' WHEN te > 0 AND te <= 20 AND tr > 0 AND tr <= 1000 THEN 'T1' END AS timed FROM s) SELECT id, coalesce(named, timed) AS base_type, CASE coalesce(named, timed, 'Unknown') WHEN 'T1' THEN CASE WHEN named IS NOT NULL AND regexp_matches(tokens, '{S.POST}') THEN 'T1c' ELSE 'T1n' END WHEN 'T2f' THEN 'T2-FLAIR' ELSE coalesce(named, timed, 'Unknown') END AS final_label FROM b")
+@query(_SERIES + f", b AS (SELECT *, {_rule_sql(S.BASE_RULES)} AS named, CASE WHEN te >= 80 AND tr >= 2000 THEN 'T2w' WHEN te > 0 AND te <= 20 AND tr > 0 AND tr <= 1000 THEN 'T1' END AS timed FROM s) SELECT event_id, coalesce(named, timed) AS base_type, CASE coalesce(named, timed, 'Unknown') WHEN 'T1' THEN CASE WHEN named IS NOT NULL AND regexp_matches(tokens, '{S.POST}') THEN 'T1c' ELSE 'T1n' END WHEN 'T2f' THEN 'T2-FLAIR' ELSE coalesce(named, timed, 'Unknown') END AS final_label FROM b")
 def classify_series(spark, sf_dir):
-    return S.classify(_series(spark)).select("id", "base_type", "final_label")
+    return S.classify(_series(spark, sf_dir)).select("event_id", "base_type", "final_label")
 
 
 #: Fixed values, one or more for each rule and branch: id, exam, name, minute, te, tr, b, image types, contrast agent, acquisition contrast, sequence name.
@@ -61,9 +68,10 @@ CASCADE = [
     (43, None, "AX T1 c+", 1, None, None, None, None, None, None, None), (44, None, "AX T1", 2, None, None, None, None, None, None, None), (45, "c", None, None, None, None, None, None, None, None, None),
 ]
 _CASCADE_VALUES = "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in CASCADE)
-_CASCADE_SQL = rf"""WITH s AS (SELECT CAST(id AS INT) AS id, exam, {_TOKENS} AS t, TIMESTAMP '2020-01-01' + to_minutes(CAST(m AS BIGINT)) AS acq, CAST(te AS DOUBLE) AS te, CAST(tr AS DOUBLE) AS tr, CAST(b AS DOUBLE) AS b,
+#: Each run of events through all cases has exams of its own. The patterns stand here a second time, written for themselves.
+_CASCADE_SQL = rf"""WITH s AS (SELECT event_id AS id, exam || '-' || event_id // {len(CASCADE)} AS exam, {_TOKENS} AS t, TIMESTAMP '2020-01-01' + to_minutes(CAST(m AS BIGINT)) AS acq, CAST(te AS DOUBLE) AS te, CAST(tr AS DOUBLE) AS tr, CAST(b AS DOUBLE) AS b,
   CASE WHEN kinds IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_sort(string_split(upper(kinds), ' ')) END AS k, coalesce(agent, '') AS agent, coalesce(upper(ac), '') AS ac, lower(coalesce(sq, '')) AS sq
-  FROM ({_CASCADE_VALUES}) v(id, exam, name, m, te, tr, b, kinds, agent, ac, sq)),
+  FROM ({_CASCADE_VALUES}) v(no, exam, name, m, te, tr, b, kinds, agent, ac, sq) JOIN events ON event_id % {len(CASCADE)} = no - 1),
 x AS (SELECT exam, coalesce(min(acq) FILTER (regexp_matches(t, 'perfusion|pwi|dsc|dce|asl')), min(acq) FILTER (regexp_matches(t, 'post|c\+|gad|with contrast|w/ contrast|t1c'))) AS t0 FROM s GROUP BY exam),
 a AS (SELECT s.*, coalesce(acq > t0, false) AS late, agent <> '' OR contains(ac, 'CONTRAST') AS vendor, regexp_matches(t, 'post|c\+|gad|with contrast|w/ contrast|t1c') AS named,
   regexp_matches(t || ' ' || sq, 'spgr|bravo|mprage|mp rage|vibe|spoiled|t1 ?cube|tfl') AS fast,
@@ -83,7 +91,7 @@ c AS (SELECT *, CASE n WHEN 1 THEN loc WHEN 2 THEN dwi WHEN 3 THEN swi WHEN 4 TH
   (n = 7 AND (named OR vendor OR late)) OR (n = 9 AND late) AS post FROM r),
 d AS (SELECT *, CASE WHEN len(k) > 0 THEN list_has_any(k, ['DERIVED', 'SECONDARY', 'REFORMATTED', 'RESAMPLED', 'MPR', 'MIP', 'MINIP', 'T2_STAR', 'TRACEW', 'ADC', 'FA', 'EXP_ATTEN', 'AVDC', 'AVERAGE', 'MINIMUM', 'MAXIMUM', 'SUBTRACTION'])
   ELSE cat IS NOT NULL OR regexp_matches(t, '\bmip\b|\bminip\b|project|slab') END AS derived FROM c)
-SELECT id, CASE n WHEN 1 THEN 'Localizer' WHEN 2 THEN 'DWI' WHEN 3 THEN 'SWI' WHEN 4 THEN 'Perfusion' WHEN 5 THEN 'T2f' WHEN 6 THEN 'T2w' WHEN 7 THEN 'T1' WHEN 8 THEN 'T2w' WHEN 9 THEN 'T1' END AS base_type,
+SELECT id AS event_id, CASE n WHEN 1 THEN 'Localizer' WHEN 2 THEN 'DWI' WHEN 3 THEN 'SWI' WHEN 4 THEN 'Perfusion' WHEN 5 THEN 'T2f' WHEN 6 THEN 'T2w' WHEN 7 THEN 'T1' WHEN 8 THEN 'T2w' WHEN 9 THEN 'T1' END AS base_type,
   CASE n WHEN 1 THEN 'Localizer' WHEN 2 THEN 'DWI' WHEN 3 THEN 'SWI' WHEN 4 THEN 'Perfusion' WHEN 5 THEN 'T2-FLAIR' WHEN 6 THEN 'T2w' WHEN 8 THEN 'T2w' WHEN 10 THEN CASE WHEN derived THEN 'Unknown-derived' ELSE 'Unknown' END
     ELSE CASE WHEN post THEN 'T1c' ELSE 'T1n' END END || coalesce('(' || cat || ')', '') AS final_label,
   post AS is_postcontrast, n = 5 AS is_flair, derived AS is_derived,
@@ -100,10 +108,11 @@ SELECT id, CASE n WHEN 1 THEN 'Localizer' WHEN 2 THEN 'DWI' WHEN 3 THEN 'SWI' WH
 
 @query(_CASCADE_SQL)
 def classify_cascade(spark, sf_dir):
-    df = spark.createDataFrame(CASCADE, "id int, exam string, name string, m int, te double, tr double, b_value double, kinds string, contrast_agent string, acquisition_contrast string, sequence_name string")
+    df = dealt(spark, sf_dir, CASCADE, "id int, exam string, name string, m int, te double, tr double, b_value double, kinds string, contrast_agent string, acquisition_contrast string, sequence_name string")
     at = F.to_timestamp(F.lit("2020-01-01")) + F.make_interval(mins=F.col("m"))
+    df = df.withColumn("exam", F.concat("exam", F.lit("-"), F.floor(F.col("event_id") / len(CASCADE)).cast("string")))
     df = df.withColumn("tokens", S.name_tokens(F.col("name"))).withColumn("acq_dt", at).withColumn("image_types", F.split("kinds", " "))
-    return S.classify(df).select("id", "base_type", "final_label", "is_postcontrast", "is_flair", "is_derived", "confidence", "reason")
+    return S.classify(df).select("event_id", "base_type", "final_label", "is_postcontrast", "is_flair", "is_derived", "confidence", "reason")
 
 
 @query(r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '\^', ' ', 'g'), '[^A-Za-z0-9\s'']', ' ', 'g'), '\s+', ' ', 'g'))) AS name FROM documents")
@@ -149,7 +158,7 @@ def z_spacing(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS b_value FROM events")
 def bvalue_json(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("b_value"))
+    return _table(spark, sf_dir, "events").select("event_id", H.b_value(F.create_map(F.lit("DiffusionBValue"), F.get_json_object("props", "$.k"))).alias("b_value"))
 
 
 @query("WITH f AS (SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, url FROM pages) SELECT folder, min(url) FILTER (contains(url, '1')) AS one, min(url) FILTER (url GLOB '*7') AS seven FROM f GROUP BY folder HAVING count(*) FILTER (contains(url, '1')) = 1 AND count(*) FILTER (url GLOB '*7') = 1")
@@ -178,7 +187,7 @@ def prefill_previous(spark, sf_dir):
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%')")
 def omit_previous(spark, sf_dir):
     seen = _table(spark, sf_dir, "orders").where("o_orderpriority like '1%' or o_orderpriority like '2%'").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, sf_dir, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
+    return C.missing(_table(spark, sf_dir, "customer").select("c_custkey"), seen, "c_custkey")
 
 
 @query("SELECT page_id, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS bytes FROM pages")
