@@ -45,6 +45,23 @@ def sampled(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return df.orderBy(_drawn(key, seed), key).limit(n)
 
 
+#: Parts that each group is dealt into before its least draws are compared.
+RESERVOIR_PARTS = 64
+
+
+def bounded(df: DataFrame, group: str | list[str], key: str, seed: int, most: int) -> DataFrame:
+    """At most `most` rows of each group, drawn by the seed: those of the least md5 of seed and key, the same in every run.
+
+    The least draws of each part of a group come first, then the least of these; Spark keeps `most` rows a group in every task
+    before it shuffles, so a group of any size sends few rows. The key must be unique within its group.
+    """
+    groups = [group] if isinstance(group, str) else group
+    drawn = df.withColumn("_draw", _drawn(key, seed)).withColumn("_part", F.conv(F.substring("_draw", -4, 4), 16, 10).cast("int") % RESERVOIR_PARTS)
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_draw", key))
+    least = drawn.withColumn("_k", place(*groups, "_part")).where(F.col("_k") <= most)
+    return least.withColumn("_k", place(*groups)).where(F.col("_k") <= most).drop("_draw", "_part", "_k")
+
+
 def zipped(left: DataFrame, left_key: str, right: DataFrame, right_key: str, strict: bool = True) -> DataFrame:
     """Row k of one list beside row k of the other; `strict` refuses lists of unequal length, else the longer is cut."""
     if strict and left.count() != right.count():
