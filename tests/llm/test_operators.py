@@ -270,6 +270,8 @@ def test_toxicity_on_the_held_out_fold(spark):
     held = got[got.held_out]
     assert (held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5) == 0).all()
     assert (held.predicted == held.toxic).mean() > 0.95
+    hit = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert hit >= 0.84 * (held.toxic == 1).sum() and hit >= 0.95 * (held.predicted == 1).sum(), (hit, (held.toxic == 1).sum(), (held.predicted == 1).sum())
 
 
 def test_repair_codec(spark, texts):
