@@ -247,23 +247,12 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def range_bounds(ids: DataFrame, column: str, pieces: int) -> list[int]:
-    """First value of each of at most `pieces` non-empty ranges of about equal rows.
+def by_ranges(rows: DataFrame, key: str, text: str, pieces: int) -> DataFrame:
+    """`rows` in order of the key, null first, in `pieces` partitions of about equal rows, with `piece`, the number of the partition.
 
-    `pieces` numbers come to the driver, however many rows there are.
+    Rows of one key follow by a hash of their text and are dealt over partitions too; Spark samples the ranges, so the plan
+    stays as small as it is however many there are.
     """
-    at = F.percentile_approx(column, [i / pieces for i in range(pieces)], 10 * pieces)
-    guess = sorted(set(ids.where(F.col(column).isNotNull()).agg(at.alias("q")).first()["q"] or []))
-    rows = ids.groupBy(range_index(F.col(column), guess).alias("piece")).agg(F.min(column).alias("least")).collect()
-    return sorted({r["least"] for r in rows if r["least"] is not None})
-
-
-def range_index(value: Column, bounds: list[int]) -> Column:
-    """Which range of `range_bounds` holds a value, from 0; null and lesser values go to the first."""
-    if len(bounds) < 2:
-        return F.lit(0)
-    step = int(len(bounds) ** 0.5) + 1
-    longs = lambda x: F.array(*[F.lit(v).cast("bigint") for v in x])
-    coarse = F.size(F.filter(longs(bounds[::step]), lambda b: b <= value))
-    fine = F.size(F.filter(F.element_at(F.array(*[longs(bounds[i : i + step]) for i in range(0, len(bounds), step)]), F.greatest(coarse, F.lit(1))), lambda b: b <= value))
-    return F.coalesce(F.greatest((F.greatest(coarse, F.lit(1)) - 1) * step + fine - 1, F.lit(0)), F.lit(0)).cast("int")
+    placed = rows.withColumn("tie", F.xxhash64(text)).withColumn("place", F.monotonically_increasing_id())
+    order = (key, "tie", "place")
+    return placed.repartitionByRange(pieces, *order).sortWithinPartitions(*order).withColumn("piece", F.spark_partition_id()).drop("tie", "place")

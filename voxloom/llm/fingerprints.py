@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import STEP, U64, mix, pieces_by_size, range_bounds, range_index, shingles, slices, small_batches, text_list
+from voxloom.llm.common import STEP, U64, by_ranges, materialize, mix, pieces_by_size, shingles, slices, small_batches, text_list
 
 
 @dataclass(frozen=True)
@@ -89,56 +89,74 @@ def _at_most(lo: int, hi: int, n: int) -> Iterator[tuple[int, int]]:
         yield a, min(hi, a + n)
 
 
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a row of the written table is: a result, or the first or the last row of a range with its text.
+_FOUND, _HEAD, _TAIL = 0, 1, 2
+
+
 def fingerprint_with_edit(docs: DataFrame, sketcher: Sketcher = Sketcher()) -> DataFrame:
     """Fingerprint every text, the text with its last quarter replaced by the start of the next, and compare.
 
     The next document is that of the next greater doc_id (of the first, after the last). Rows that share a doc_id
-    follow one another by text; a null doc_id comes first; a null or empty text has the fingerprint "".
-    Rows are dealt by ranges of doc_id and each range also gets the first row of the following range, so no global sort
-    and no window over all rows is needed. The driver holds one id for each range.
+    follow one another by a hash of their text; a null doc_id comes first; a null or empty text has the fingerprint "".
+    Texts are shuffled once, to ranges of doc_id; each range compares its own rows and writes out its first and last one.
+    The last of each is then joined with the first of the range after it, so no window holds texts and nothing comes to the driver.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = range_bounds(docs.select("key"), "key", pieces_by_size(docs, "text"))
-    n = max(1, len(bounds))
-    heads = F.array(*[F.lit(x).cast("bigint") for x in bounds or [0]])
-    spot = lambda piece, guest: F.struct(piece.cast("int").alias("piece"), F.lit(guest).alias("guest"))
-    own = docs.withColumn("piece", range_index(F.col("key"), bounds))
-    before = F.pmod(F.col("piece") - 1, F.lit(n))
-    dealt = own.withColumn("to", F.explode(F.when(F.col("key") == F.element_at(heads, F.col("piece") + 1), F.array(spot(F.col("piece"), False), spot(before, True))).otherwise(F.array(spot(F.col("piece"), False)))))
-    ordered = dealt.select("to.piece", "to.guest", "key", "doc_id", "text").repartitionById(n, F.col("piece")).sortWithinPartitions("piece", "guest", "key", "text")
-    return ordered.mapInArrow(lambda batches: _stream(batches, sketcher), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = by_ranges(docs, "doc_id", "text", pieces_by_size(docs, "text"))
+    written = materialize(ordered.mapInArrow(lambda batches: _stream(batches, sketcher), f"{_RESULT}, kind int, piece int, text string"), "fingerprints")
+    heads = written.where(F.col("kind") == _HEAD).select(F.col("piece").alias("next"), F.col("text").alias("after"))
+    tails = written.where(F.col("kind") == _TAIL).select("piece", "doc_id", "text")
+    by_piece = Window.orderBy("piece")
+    following = tails.select("piece", F.coalesce(F.lead("piece").over(by_piece), F.min("piece").over(by_piece)).alias("next"))
+    edges = tails.join(following, "piece").join(heads, "next").select("doc_id", "text", "after")
+    columns = [x.split()[0] for x in _RESULT.split(", ")]
+    return written.where(F.col("kind") == _FOUND).select(*columns).unionByName(edges.mapInArrow(lambda batches: _across(batches, sketcher), _RESULT))
 
 
 def _stream(batches: Iterable[pa.RecordBatch], sketcher: Sketcher) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []  # (piece, guest, doc_id, text)
-    size = 0
+    held: list[tuple[int | None, str]] = []
+    piece, size = None, 0
     for batch in batches:
-        for row in zip(batch["piece"].to_pylist(), batch["guest"].to_pylist(), batch["doc_id"].to_pylist(), text_list(batch["text"]), strict=True):
-            held.append(row)
-            size += len(row[3])
+        for piece, doc_id, text in zip(batch["piece"].to_pylist(), batch["doc_id"].to_pylist(), text_list(batch["text"]), strict=True):
+            if not held:
+                yield _edge(_HEAD, piece, doc_id, text)
+            held.append((doc_id, text))
+            size += len(text)
             if size >= STEP and len(held) > 1:
-                yield _rows(held, sketcher)
-                held, size = held[-1:], len(held[-1][3])
+                yield _compared(held, sketcher, _FOUND)
+                held, size = held[-1:], len(held[-1][1])
+    if len(held) > 1:
+        yield _compared(held, sketcher, _FOUND)
     if held:
-        yield _rows(held, sketcher)
+        yield _edge(_TAIL, piece, *held[-1])
+
+
+def _across(batches: Iterable[pa.RecordBatch], sketcher: Sketcher) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, text, after in zip(batch["doc_id"].to_pylist(), text_list(batch["text"]), text_list(batch["after"]), strict=True):
+            yield _compared([(doc_id, text), (None, after)], sketcher)
+
+
+_KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "kind": pa.int32(), "piece": pa.int32(), "text": pa.string()}
+
+
+def _edge(kind: int, piece: int, doc_id: int | None, text: str) -> pa.RecordBatch:
+    row = {"doc_id": doc_id, "kind": kind, "piece": piece, "text": text}
+    return pa.record_batch([pa.array([row.get(c)], k) for c, k in _KINDS.items()], names=list(_KINDS))
 
 
-def _rows(held: list[tuple], sketcher: Sketcher) -> pa.RecordBatch:
-    pairs = [(a, b) for a, b in zip(held, held[1:]) if not a[1] and a[0] == b[0]]
-    ids, counts, digests, texts = [], [], [], []
-    for (_, _, doc_id, text), (_, _, _, after) in pairs:
+def _compared(rows: list[tuple[int | None, str]], sketcher: Sketcher, kind: int | None = None) -> pa.RecordBatch:
+    """The result of every row but the last, each against the one after it; with a kind, as rows of the written table."""
+    n = len(rows) - 1
+    edited = []
+    for (_, text), (_, after) in zip(rows, rows[1:]):
         cut = len(text) // 4
-        edited = (text[: len(text) - cut] + after[:cut]).encode()
-        ids.append(doc_id)
-        counts.append(len(text))
-        digests.append(hashlib.sha256(edited).hexdigest())
-        texts.append(edited)
-    own = sketcher.of_texts([x[3].encode() for x in held])
-    at = np.array([i for i, (a, b) in enumerate(zip(held, held[1:])) if not a[1] and a[0] == b[0]], np.int64)
-    changed = sketcher.of_texts(texts)
-    return pa.record_batch([
-        pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(sketcher.names(own[at]), pa.string()),
-        pa.array(sketcher.names(changed), pa.string()), pa.array(sketcher.likeness(own[at], changed)), pa.array(sketcher.likeness(own[at], own[at + 1])),
-    ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        edited.append((text[: len(text) - cut] + after[:cut]).encode())
+    own, changed = sketcher.of_texts([text.encode() for _, text in rows]), sketcher.of_texts(edited)
+    columns = [[x for x, _ in rows[:n]], [len(x) for _, x in rows[:n]], [hashlib.sha256(x).hexdigest() for x in edited], sketcher.names(own[:n]), sketcher.names(changed), sketcher.likeness(own[:n], changed), sketcher.likeness(own[:n], own[1:])]
+    if kind is not None:
+        columns += [[kind] * n, [None] * n, [None] * n]
+    names = list(_KINDS)[: len(columns)]
+    return pa.record_batch([pa.array(v, _KINDS[c]) for c, v in zip(names, columns, strict=True)], names=names)

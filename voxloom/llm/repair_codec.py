@@ -14,10 +14,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialize, pieces_by_size, ragged, range_bounds, range_index, small_batches, text_buffers
+from voxloom.llm.common import by_ranges, materialize, pieces_by_size, ragged, small_batches, text_buffers
 from voxloom.llm.tokens import encoder
 
 MAGIC = b"RPG2"
@@ -204,25 +204,21 @@ class Shard:
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = 1 << 17) -> DataFrame:
     """The written table of shards (piece, shard, n_ids, blob), ids in ascending doc_id order within and across pieces.
 
-    A null or empty text is the end id alone; a null doc_id comes first; rows that share a doc_id keep the order of
-    their ids. A shard is closed once it holds `shard_ids` ids; a longer document has one of its own. Texts are encoded
-    where they are read; only ids are shuffled, to ranges of doc_id, as many as the size of the texts asks for.
+    A null or empty text is the end id alone; a null doc_id comes first; rows that share a doc_id follow by a hash of
+    their text. A shard is closed once it holds `shard_ids` ids; a longer document has one of its own. Texts are shuffled
+    once, to ranges of doc_id, as many as their size asks for, and encoded there.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     base = max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
     kind = "<u2" if base <= 1 << 16 else "<u4"
-    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    bounds = range_bounds(docs.select("doc_id"), "doc_id", pieces_by_size(docs, "text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
 
-    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         encode = encoder(tokenizer).encode
-        last = np.array([end_id], kind).tobytes()
-        k = np.dtype(kind).itemsize
         for batch in batches:
             ids, at = encode(*text_buffers(batch["text"]))
-            raw = ids.astype(kind).tobytes()
-            yield pa.record_batch([batch["doc_id"], pa.array([raw[a * k : b * k] + last for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "ids"])
+            for p, key, a, b in zip(batch["piece"].to_pylist(), batch["doc_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield p, key, np.append(ids[a:b], end_id).astype(kind)
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, number, first, held, keys = None, 0, 0, [], []
@@ -233,37 +229,37 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int =
             return pa.record_batch([pa.array([piece], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["piece", "shard", "n_ids", "blob"])
 
         size = 0
-        for batch in batches:
-            for p, key, raw in zip(batch["piece"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"], strict=True):
-                if held and (p != piece or size >= shard_ids):
-                    yield close()
-                    number, first = (number + 1, first + size) if p == piece else (0, 0)
-                    held, keys, size = [], [], 0
-                piece = p
-                held.append(np.frombuffer(raw.as_buffer(), kind))
-                keys.append(None if key == _NO_ID else key)
-                size += len(held[-1])
+        for p, key, own in encoded(batches):
+            if held and size >= shard_ids:
+                yield close()
+                number, first = number + 1, first + size
+                held, keys, size = [], [], 0
+            piece = p
+            held.append(own)
+            keys.append(None if key == _NO_ID else key)
+            size += len(own)
         if held:
             yield close()
 
-    ids = docs.mapInArrow(encoded, "doc_id long, ids binary").withColumn("piece", range_index(F.col("doc_id"), bounds))
-    ordered = ids.repartitionById(max(1, len(bounds)), F.col("piece")).sortWithinPartitions("piece", "doc_id", "ids")
+    ordered = by_ranges(docs, "doc_id", "text", pieces_by_size(docs, "text"))
     return materialize(ordered.mapInArrow(shards, "piece int, shard int, n_ids long, blob binary"), "token-shards")
 
 
+#: Pieces whose totals are summed together (a power of two); the sums of these groups are then summed in one task.
+BLOCK_BITS = 12
+
+
 def read_ids(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written shards.
 
     Places come from expansion lengths, ids by random access, a document at a time. Each piece's first place is the sum
-    of those before it: one number a piece comes to the driver.
+    of those before it, in two steps of windows over one number a piece.
     """
-    spark = shards.sparkSession
-    totals = sorted((r["piece"], r["n"]) for r in shards.groupBy("piece").agg(F.sum("n_ids").alias("n")).collect())
-    before, rows = 0, []
-    for piece, n in totals:
-        rows.append((piece, before))
-        before += n
-    firsts = spark.createDataFrame(rows, "piece int, before long")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = shards.groupBy("piece").agg(F.sum("n_ids").alias("n")).withColumn("block", F.shiftright("piece", BLOCK_BITS))
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("base"))
+    within = totals.select("piece", "block", before(Window.partitionBy("block").orderBy("piece")).alias("before"))
+    firsts = within.join(blocks, "block").select("piece", (F.col("base") + F.col("before")).alias("before"))
 
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,4 +270,4 @@ def read_ids(shards: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([piece] * n, pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(shard.first + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["piece", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     found = shards.select("piece", "blob").mapInArrow(decoded, "piece int, doc_id long, own long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(firsts), "piece").select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(firsts, "piece").select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
