@@ -7,7 +7,6 @@ Only the low `bits` of each minimum are kept; the likeness corrects for their ch
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -76,8 +75,8 @@ class Sketcher:
         found = np.clip(((1 - differ.mean(axis=1)) - chance) / (1 - chance), 0, 1)
         return np.where(both, found, np.where(either, 0.0, 1.0))
 
-    def names(self, packed: np.ndarray) -> list[str]:
-        return [base64.b64encode(x[:-1].tobytes()).decode() if x[-1] else "" for x in packed]
+    def blobs(self, packed: np.ndarray) -> list[bytes]:
+        return [x[:-1].tobytes() if x[-1] else b"" for x in packed]
 
     def of_texts(self, texts: list[bytes]) -> np.ndarray:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
@@ -89,7 +88,8 @@ def _at_most(lo: int, hi: int, n: int) -> Iterator[tuple[int, int]]:
         yield a, min(hi, a + n)
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Digests and fingerprints are kept as bytes until they are returned.
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 #: What a row of the written table is: a result, or the first or the last row of a range with its text.
 _FOUND, _HEAD, _TAIL = 0, 1, 2
 
@@ -111,8 +111,9 @@ def fingerprint_with_edit(docs: DataFrame, sketcher: Sketcher = Sketcher()) -> D
     by_piece = Window.orderBy("piece")
     following = tails.select("piece", F.coalesce(F.lead("piece").over(by_piece), F.min("piece").over(by_piece)).alias("next"))
     edges = tails.join(following, "piece").join(heads, "next").select("doc_id", "text", "after")
-    columns = [x.split()[0] for x in _RESULT.split(", ")]
-    return written.where(F.col("kind") == _FOUND).select(*columns).unionByName(edges.mapInArrow(lambda batches: _across(batches, sketcher), _RESULT))
+    found = written.where(F.col("kind") == _FOUND).drop("kind", "piece", "text").unionByName(edges.mapInArrow(lambda batches: _across(batches, sketcher), _RESULT))
+    name = lambda c: F.replace(F.base64(c), F.lit("\r\n"), F.lit("")).alias(c)
+    return found.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), name("fingerprint"), name("edited_fingerprint"), "near_edited", "near_next")
 
 
 def _stream(batches: Iterable[pa.RecordBatch], sketcher: Sketcher) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ def _across(batches: Iterable[pa.RecordBatch], sketcher: Sketcher) -> Iterator[p
             yield _compared([(doc_id, text), (None, after)], sketcher)
 
 
-_KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "kind": pa.int32(), "piece": pa.int32(), "text": pa.string()}
+_KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "kind": pa.int32(), "piece": pa.int32(), "text": pa.string()}
 
 
 def _edge(kind: int, piece: int, doc_id: int | None, text: str) -> pa.RecordBatch:
@@ -155,7 +156,7 @@ def _compared(rows: list[tuple[int | None, str]], sketcher: Sketcher, kind: int
         cut = len(text) // 4
         edited.append((text[: len(text) - cut] + after[:cut]).encode())
     own, changed = sketcher.of_texts([text.encode() for _, text in rows]), sketcher.of_texts(edited)
-    columns = [[x for x, _ in rows[:n]], [len(x) for _, x in rows[:n]], [hashlib.sha256(x).hexdigest() for x in edited], sketcher.names(own[:n]), sketcher.names(changed), sketcher.likeness(own[:n], changed), sketcher.likeness(own[:n], own[1:])]
+    columns = [[x for x, _ in rows[:n]], [len(x) for _, x in rows[:n]], [hashlib.sha256(x).digest() for x in edited], sketcher.blobs(own[:n]), sketcher.blobs(changed), sketcher.likeness(own[:n], changed), sketcher.likeness(own[:n], own[1:])]
     if kind is not None:
         columns += [[kind] * n, [None] * n, [None] * n]
     names = list(_KINDS)[: len(columns)]
