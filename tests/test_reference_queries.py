@@ -2,7 +2,7 @@ import oracle
 import pytest
 
 from voxloom.operators import geometry, volumes
-from voxloom.plans import catalog_queries, dicom_queries, ensemble_queries, geometry_queries, grid_queries, manifest_queries, metadata_queries  # noqa: F401
+from voxloom.plans import catalog_queries, dicom_queries, ensemble_queries, geometry_queries, grid_queries, manifest_queries, metadata_queries, patient_queries  # noqa: F401
 from voxloom.plans.volume_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
