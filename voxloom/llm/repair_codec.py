@@ -34,21 +34,25 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = 4) -> tuple[np.nd
     the right of another; the order among them then makes no difference. Of a run of one symbol every other pair is taken.
     A pair found rare stays rare, for its symbols only get fewer; only places beside new symbols are counted anew.
     """
-    alphabet, seq = np.unique(ids, return_inverse=True)
-    seq, starts, base = seq.astype(np.uint64), starts.astype(np.int64), len(alphabet)
-    closed = np.zeros(len(seq), bool)  # the last symbols of documents
-    closed[starts[1:][starts[1:] > 0] - 1] = True
+    alphabet, seq = _alphabet(ids)
+    starts, base = starts.astype(np.int64), len(alphabet)
     hot = np.ones(len(seq), bool)
-    rules = np.zeros((0, 2), np.int64)
+    rules = [np.zeros((0, 2), np.int64)]
+    symbols = base
     while True:
-        at = np.flatnonzero(hot & ~closed)
-        symbols, n = base + len(rules), len(seq)
+        hot[starts[1:][starts[1:] > 0] - 1] = False  # the last symbols of documents
+        at = np.flatnonzero(hot)
+        n = len(seq)
         wide, deep = symbols.bit_length(), n.bit_length()
         if 2 * wide + deep <= 64:
-            key = (seq[at] << np.uint64(wide + deep)) | (seq[at + 1] << np.uint64(deep)) | at.astype(np.uint64)
-            key.sort()
-            spot = (key & np.uint64((1 << deep) - 1)).astype(np.int64)
-            pair = key >> np.uint64(deep)
+            pair = seq[at]
+            pair <<= np.uint64(wide)
+            pair |= seq[at + 1]
+            pair <<= np.uint64(deep)
+            pair |= at.view(np.uint64)
+            pair.sort()
+            spot = (pair & np.uint64((1 << deep) - 1)).view(np.int64)
+            pair >>= np.uint64(deep)
         else:
             wide = 32
             pair = (seq[at] << np.uint64(wide)) | seq[at + 1]
@@ -56,37 +60,46 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = 4) -> tuple[np.nd
             spot, pair = at[order], pair[order]
         edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(pair)))
-        hot[spot] = np.repeat(count >= least, count)
         good = np.flatnonzero(count >= least)
         if not len(good):
-            return alphabet, seq.astype(np.uint32), starts, rules
-        good = good[np.argsort(-count[good], kind="stable")]
+            return alphabet, seq.astype(np.uint32), starts, np.concatenate(rules)
+        order = ((n - count[good]) << 32) | np.arange(len(good))
+        order.sort()
+        good = good[order & 0xFFFFFFFF]
         left = (pair[edge[good]] >> np.uint64(wide)).astype(np.int64)
         right = (pair[edge[good]] & np.uint64((1 << wide) - 1)).astype(np.int64)
         free = _without_overlap(left, right, symbols)
-        chosen = good[free]
-        name = np.full(len(edge), -1)
-        name[chosen] = symbols + np.arange(len(chosen))
-        rules = np.concatenate([rules, np.stack([left[free], right[free]], axis=1)])
-        named = np.repeat(name, count)
-        taken = named >= 0
-        symbol = np.full(n, -1)
-        symbol[spot[taken]] = named[taken]
-        hit = symbol >= 0
-        if (left == right)[free].any():
-            first = hit.copy()
-            first[1:] &= ~hit[:-1]
-            run = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-            hit &= (np.arange(n) - run) % 2 == 0
-        hits = np.flatnonzero(hit)
-        seq[hits] = symbol[hits].astype(np.uint64)
-        closed[hits] = closed[hits + 1]
+        chosen, same = good[free], (left == right)[free]
+        hits = spot[ragged(count[chosen], edge[chosen])]
+        named = np.repeat(np.arange(symbols, symbols + len(chosen)), count[chosen])
+        if same.any():  # places of one pair ascend, and no place of another is beside them
+            first = np.concatenate([[True], (hits[1:] != hits[:-1] + 1) | (named[1:] != named[:-1])])
+            run = np.maximum.accumulate(np.where(first, np.arange(len(hits)), 0))
+            every = ~np.repeat(same, count[chosen]) | ((np.arange(len(hits)) - run) % 2 == 0)
+            hits, named = hits[every], named[every]
+        rules.append(np.stack([left[free], right[free]], axis=1))
+        symbols += len(chosen)
+        hot[:] = False
+        put_off = good[~free]
+        hot[spot[ragged(count[put_off], edge[put_off])]] = True
         hot[hits] = True
         hot[np.maximum(hits - 1, 0)] = True
+        seq[hits] = named
         keep = np.ones(n, bool)
         keep[hits + 1] = False
-        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
-        seq, closed, hot = seq[keep], closed[keep], hot[keep]
+        starts = starts - np.searchsorted(np.flatnonzero(~keep), starts)
+        seq, hot = seq[keep], hot[keep]
+
+
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and the place of each id among them; by a table where the ids are small."""
+    top = int(ids.max(initial=0))
+    if top >= 1 << 18:
+        alphabet, seq = np.unique(ids, return_inverse=True)
+        return alphabet, seq.astype(np.uint64)
+    held = np.zeros(top + 1, bool)
+    held[ids] = True
+    return np.flatnonzero(held).astype(ids.dtype), (np.cumsum(held) - 1).astype(np.uint64)[ids]
 
 
 def _without_overlap(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
@@ -128,14 +141,16 @@ def _blocks(base: int, rules: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:
-    planes = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]
+    wide = 2 if bits <= 16 else 4
+    planes = np.unpackbits(values.astype(f">u{wide}").view(np.uint8).reshape(-1, wide), axis=1)[:, 8 * wide - bits :]
     return np.packbits(planes).tobytes()
 
 
 def _unpack(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
-    planes = np.zeros((n, 32), np.uint8)
-    planes[:, 32 - bits :] = np.unpackbits(raw, count=n * bits).reshape(n, bits)
-    return np.packbits(planes, axis=1).view(">u4").ravel().astype(np.int64)
+    wide = 2 if bits <= 16 else 4
+    planes = np.zeros((n, 8 * wide), np.uint8)
+    planes[:, 8 * wide - bits :] = np.unpackbits(raw, count=n * bits).reshape(n, bits)
+    return np.packbits(planes).view(f">u{wide}").astype(np.int64)
 
 
 def write_shard(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None], first: int) -> bytes:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -44,13 +45,14 @@ class WordTable:
         self.slots = np.zeros(1 << self.SLOT_BITS, np.int32)
         self.first, self.second, self.starts, self.lengths, self.ids = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _add(self, encoded: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def _add(self, encoded: list, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         base = len(self.lengths)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
-        self.ids = np.concatenate([self.ids, *[np.asarray(x, np.uint32) for x in encoded]])
+        flat = [np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))] if all(type(x) is list for x in encoded) else [np.asarray(x, np.uint32) for x in encoded]
+        self.ids = np.concatenate([self.ids, *flat])
         return base + np.arange(len(encoded))
 
     def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Callable[[np.ndarray], list]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,25 +136,30 @@ class TextEncoder:
         begins[1:] &= ~inside[:-1]
         first = rows[rows < len(data)]
         begins[first] = inside[first]
-        run = np.cumsum(begins) - 1
+        run = np.cumsum(begins, dtype=np.int32) - np.int32(1)
         plain = np.ones(int(begins.sum()) + 1, bool)
         plain[run[odd & inside]] = False
+        fine = plain[run]
         part = inside & (kind == _DIGIT)
         part[1:] |= inside[1:] & (kind[1:] != kind[:-1])
-        start = np.flatnonzero(begins | (part & plain[run]))
+        start = np.flatnonzero(begins | (part & fine))
         last = inside.copy()
         last[:-1] &= ~inside[1:] | begins[1:]
         last[start[start > 0] - 1] |= inside[start[start > 0] - 1]
         end = np.flatnonzero(last) + 1
-        data = data + np.uint8(32) * ((data >= 65) & (data <= 90) & plain[run])
-        ok = plain[run[start]]
-        ids, ends = self.table.lookup(data, start, end, lambda at: [self._word(data[start[i] : end[i]].tobytes().decode(), ok[i]) for i in at.tolist()])
+        data = data + np.uint8(32) * ((data >= 65) & (data <= 90) & fine)
+
+        def encode(at: np.ndarray) -> list[list[int]]:
+            raw = data.tobytes()
+            return [self._word(raw[a:b].decode(), ok) for a, b, ok in zip(start[at].tolist(), end[at].tolist(), fine[start[at]].tolist(), strict=True)]
+
+        ids, ends = self.table.lookup(data, start, end, encode)
         return ids, ends[np.searchsorted(start, np.append(rows, len(data)))]
 
     def _word(self, word: str, plain: bool) -> list[int]:
         if not plain:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return [x.id for x in self.model.tokenize(word.lower().translate(self.bytes))]
+        return [x.id for x in self.model.tokenize(word if word.isascii() else word.lower().translate(self.bytes))]
 
 
 _encoders: dict[str, TextEncoder] = {}
